@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binweave.llm import mojibake, records, terms, truncation
+from binweave.llm import leakage, mixing, mojibake, neardup, quality, records, terms, truncation
 from binweave.llm.sql import SQL  # noqa: F401
 from binweave.runtime import table
 
@@ -76,4 +76,63 @@ def p6_copies(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf)[0]
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_copies": p6_copies}
+# p7
+def _similar(spark: SparkSession, sf: str) -> neardup.Classes:
+    return neardup.near_duplicates(table(spark, sf, "exports").select("file_id", "name"), "file_id", "name")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.record_pairs(_similar(spark, sf)).toDF("file_id_a", "file_id_b")
+
+
+def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Per file with names its class of equal files, the files of other classes that agree with it, and its group."""
+    return neardup.record_groups(_similar(spark, sf)).withColumnRenamed("id", "file_id")
+
+
+# p8
+def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest match of each document and item, with its places."""
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_matches(spark, sf).select("doc_id", "item_id")
+
+
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold no passage."""
+    docs = table(spark, sf, "documents")
+    return leakage.without_leaks(docs.select("doc_id", "source", "n_chars"), "doc_id", p8_found(spark, sf))
+
+
+# p9
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = docs.withColumn("n_tokens", mixing.token_count(F.col("text"))).withColumn("w", mixing.density_weight(F.col("text"), F.col("n_tokens"))).drop("text")
+    return mixing.mix(docs, "doc_id", "source", "n_tokens", "w", table(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix with their tokens and copies."""
+    return _mixed(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[1]
+
+
+# p10
+def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
+    common = [r.word for r in table(spark, sf, "common_words").select("word").distinct().orderBy("word").limit(100_000).collect()]
+    return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_stats(spark, sf).filter("shape IS NOT NULL").select("doc_id", "shape")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_copies": p6_copies,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_kept": p8_kept, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats,
+}

@@ -33,7 +33,15 @@ WITH cells AS (
 )
 """
 
+_SIMILAR = """
+WITH held AS (SELECT DISTINCT file_id, name FROM exports WHERE name IS NOT NULL AND file_id IS NOT NULL
+), sizes AS (SELECT file_id, count(*) AS n FROM held GROUP BY file_id
+), shared AS (SELECT a.file_id AS file_id_a, b.file_id AS file_id_b, count(*) AS k FROM held a JOIN held b ON a.name = b.name AND a.file_id < b.file_id GROUP BY ALL)
+SELECT file_id_a, file_id_b FROM shared JOIN sizes x ON x.file_id = file_id_a JOIN sizes y ON y.file_id = file_id_b WHERE k * 5 >= (x.n + y.n - k) * 4
+"""
+
 SQL = {
+    "p7_found": _SIMILAR,
     "p4_found": _TERMS + "SELECT term, mark FROM marked WHERE mark <> 'useful'",
     "p4_terms": _TERMS + "SELECT term, occurrences, n_files, mark FROM marked",
     "p6_found": _RECORDS + "SELECT first_line_id, line_id FROM grouped WHERE line_id > first_line_id",
