@@ -44,14 +44,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once as a compressed table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that materialise wrote in this session, once their results are no longer needed."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the folder sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
