@@ -123,8 +123,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # p10
+MAX_COMMON = 100_000
+
+
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
-    common = [r.word for r in table(spark, sf, "common_words").select("word").distinct().orderBy("word").limit(100_000).collect()]
+    words = table(spark, sf, "common_words").select("word").filter("word IS NOT NULL").distinct()
+    if words.count() > MAX_COMMON:
+        raise ValueError(f"a list of function words has at most {MAX_COMMON} words")
+    common = [r.word for r in words.orderBy("word").collect()]
     return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
 
 
