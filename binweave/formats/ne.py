@@ -75,6 +75,16 @@ def ne_names(data: bytes) -> Iterator[tuple]:
         yield from names("nonresident", n.nonresident_at, min(len(n.view), n.nonresident_at + n.nonresident_size))
 
 
+EXPORT_ROW_SCHEMA = "bundle_idx int, entry_idx int, step int, flags int, ordinal bigint, rank int, name binary"
+
+
+def ne_export_rows(data: bytes) -> list[tuple]:
+    """Entries and names of a file in one pass, all or nothing: entries advance the ordinal by their step; names have their
+    ordinal and a rank that grows through both tables."""
+    rows = [(b, e, size if kind == "unused" else 1, flags or 0, None, None, None) for b, e, kind, flags, _, _, size in ne_entries(data)]
+    return rows + [(None, None, 0, 0, ordinal, i, name) for i, (_, _, name, ordinal) in enumerate(ne_names(data))]
+
+
 def _segments(n: Ne) -> list[tuple[int, int, int, int]]:
     rows = [n.view.unpack(n.at + n.segments_at + 8 * i, "HHHH") for i in range(n.segment_count)]
     return [(sector << n.shift, length or (0x10000 if sector else 0), flags, alloc or 0x10000) for sector, length, flags, alloc in rows]

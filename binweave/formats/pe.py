@@ -156,6 +156,15 @@ def pe_export_names(data: bytes) -> Iterator[tuple]:
         yield i, utf8(p.view.zstr(p.need(p.view.u32(at + 4 * i)))), base + p.view.u16(by + 2 * i)
 
 
+EXPORT_ROW_SCHEMA = "ordinal bigint, is_address boolean, name string"
+
+
+def pe_export_rows(data: bytes) -> list[tuple]:
+    """Both tables of a file in one pass, all or nothing: its addresses, and its names, where the last entry of a name holds."""
+    last = {name: ordinal for _, name, ordinal in pe_export_names(data)}
+    return [(o, True, None) for o, *_ in pe_export_addresses(data)] + [(o, False, n) for n, o in last.items()]
+
+
 def pe_resources(data: bytes, max_depth: int = 16) -> Iterator[tuple]:
     """The leaves of the resource tree with their path of ids and names. Repeated keys and cycles are errors."""
     p = Pe(data)

@@ -27,16 +27,12 @@ def classify(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def pe_exports(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """(*keys, ordinal, name, error): addresses left-joined with the greatest name of their ordinal; of equal names the last
-    entry holds. A file with a broken table gives one row with the error."""
-    addresses = parse(files, pe.pe_export_addresses, pe.EXPORT_ADDRESS_SCHEMA, keys)
-    names = parse(files, pe.pe_export_names, pe.EXPORT_NAME_SCHEMA, keys)
-    broken = names.filter("error IS NOT NULL").select(*keys, "error").unionByName(addresses.filter("error IS NOT NULL").select(*keys, "error")).groupBy(*keys).agg(F.min("error").alias("error"))
-    by_name = names.filter("error IS NULL").groupBy(*keys, "name").agg(F.max_by("ordinal", "pos").alias("ordinal"))
-    best = by_name.groupBy(*keys, "ordinal").agg(F.max("name").alias("name"))
-    good = addresses.filter("error IS NULL").select(*keys, "ordinal").join(best, [*keys, "ordinal"], "left")
-    good = good.join(broken.select(*keys), list(keys), "left_anti").withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(broken.select(*keys, F.lit(None).cast("bigint").alias("ordinal"), F.lit(None).cast("string").alias("name"), "error"))
+    """(*keys, ordinal, name, error): addresses with the greatest name of their ordinal, if any; names without an address are
+    dropped. Both tables are decoded in one pass and meet in one aggregation, which is the left join of addresses with names
+    reduced to one per ordinal. A file with a broken table gives one row with the error."""
+    rows = parse(files, pe.pe_export_rows, pe.EXPORT_ROW_SCHEMA, keys)
+    met = rows.groupBy(*keys, "ordinal", "error").agg(F.max("is_address").alias("is_address"), F.max("name").alias("name"))
+    return met.filter("is_address OR error IS NOT NULL").select(*keys, "ordinal", "name", "error")
 
 
 def ne_ordinals(entries: DataFrame, keys: tuple[str, ...] = ("path",), compat: bool = False) -> DataFrame:
@@ -57,14 +53,16 @@ def ne_best_names(names: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFr
 
 
 def ne_exports(files: DataFrame, keys: tuple[str, ...] = ("path",), compat: bool = False) -> DataFrame:
-    """(*keys, ordinal, name, error) of the entries marked as exported."""
-    entries = parse(files, ne.ne_entries, ne.ENTRY_SCHEMA, keys)
-    names = parse(files, ne.ne_names, ne.NAME_SCHEMA, keys)
-    broken = entries.filter("error IS NOT NULL").select(*keys, "error").unionByName(names.filter("error IS NOT NULL").select(*keys, "error")).groupBy(*keys).agg(F.min("error").alias("error"))
-    own = ne_ordinals(entries.filter("error IS NULL"), keys, compat).filter(F.col("flags").bitwiseAND(EXPORTED) != 0).select(*keys, "ordinal")
-    good = own.join(ne_best_names(names.filter("error IS NULL"), keys), [*keys, "ordinal"], "left").join(broken.select(*keys), list(keys), "left_anti")
-    good = good.withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(broken.select(*keys, F.lit(None).cast("bigint").alias("ordinal"), F.lit(None).cast("string").alias("name"), "error"))
+    """(*keys, ordinal, name, error) of the entries marked as exported, each with the last valid UTF-8 name of its ordinal.
+
+    Ordinals are a running sum over the entries of a file, names follow after them; window and aggregation share one exchange."""
+    rows = parse(files, ne.ne_export_rows, ne.EXPORT_ROW_SCHEMA, keys)
+    before = F.sum("step").over(Window.partitionBy(*keys).orderBy(F.col("bundle_idx").asc_nulls_last(), "entry_idx").rowsBetween(Window.unboundedPreceding, -1))
+    counted = F.coalesce(before, F.lit(0)) + (0 if compat else 1)
+    text = F.col("name").cast("string")
+    rows = rows.withColumn("at", F.when(F.col("bundle_idx").isNotNull(), counted).otherwise(F.col("ordinal")))
+    own = rows.groupBy(*keys, "at", "error").agg(F.max(F.col("flags").bitwiseAND(EXPORTED)).alias("exported"), F.max_by(F.when(F.is_valid_utf8(text), text), F.when(F.is_valid_utf8(text), F.col("rank"))).alias("name"))
+    return own.filter("exported = 1 OR error IS NOT NULL").select(*keys, F.col("at").alias("ordinal"), "name", "error")
 
 
 def exports(files: DataFrame, keys: tuple[str, ...] = ("path",), compat: bool = False) -> DataFrame:

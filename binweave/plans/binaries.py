@@ -42,7 +42,8 @@ def encode(f: Callable[..., bytes]):
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series([f(*row) for row in zip(*cols)], dtype=object)
 
-    return run
+    # Else filters on the bytes are pushed below the encoder, which then runs once more for each.
+    return run.asNondeterministic()
 
 
 def hexed(c: Column | str) -> Column:
@@ -55,8 +56,9 @@ _PARTS = "WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), r AS (
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per supplier with its sorted parts."""
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    """One row per supplier with its sorted parts, spread over all cores."""
+    own = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    return own.repartition(spark.sparkContext.defaultParallelism, "l_suppkey")
 
 
 def _dll(parts) -> bytes:
