@@ -125,8 +125,8 @@ TEXTS = [
     "\\documentclass{x}\n\\begin{document}\n" + (PROSE + "\n\n") * 6 + "\\end{document}\nafter the end", "\\item one two\n" * 40, "a & 1 & 2 \\\\\n" * 40, "x,1,2.5,--\n" * 30, "~" * 70_000, "3f" * 5_000,
     "lorq " * 3000, PROSE * 200, "wave (dark) 3, 12, 99\n" * 30, "12. alpha -- beta\n" * 30, "", "   \n \n", "one", "word " * 5, "\r\n".join([PROSE] * 9), "ß" * 500 + " " + "the " * 20, "12.5 7.1 moveto\n" * 50,
 ]
-# A single word that ends no sentence reads as an entry of a list.
-SHAPES = [None, "list", "table", "table", "junk", "junk", "junk", None, "list", "list", None, None, "list", None, None, None, "junk"]
+# A single word that ends no sentence reads as an entry of a list; a line of one or two repeated words is junk.
+SHAPES = [None, "list", "table", "table", "junk", "junk", "junk", None, "list", "list", None, None, "list", None, None, "junk", "junk"]
 
 
 def close(a, b):
