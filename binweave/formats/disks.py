@@ -191,6 +191,65 @@ def iso_files(data: bytes) -> Iterator[tuple]:
     yield from Disc(data).files()
 
 
+DIRECTORY_RECORD_SCHEMA = "pos int, extent bigint, size bigint, recorded binary, flags int, unit_size int, gap_size int, sequence int, name binary, system_use binary, extended_length int"
+PARTITION_SCHEMA = "pos int, version int, system_id string, partition_id string, location bigint, size bigint"
+EXTENDED_SCHEMA = "owner int, group_id int, permissions int, created string, modified string, expires string, effective string, record_format int, record_attributes int, record_length int, system_id string, version int, escape_length int, application_length int"
+
+
+def iso_records(extent: int | None = None):
+    """Raw directory records of the root folder, or of the folder at an extent."""
+
+    def run(data: bytes) -> Iterator[tuple]:
+        d = Disc(data)
+        v = d.view
+        start = v.u32(d.root_record + 2) if extent is None else extent
+        at, pos = start * d.block, 0
+        # The first record of a folder is its own, with the size of all.
+        end = at + v.u32(at + 10)
+        while at < end:
+            length = v.u8(at)
+            if not length:
+                at = (at // d.block + 1) * d.block
+                continue
+            flags_at = at + (24 if d.sierra else 25)
+            size = v.u8(at + 32)
+            rest = at + 33 + size + (1 - size % 2)
+            yield pos, v.u32(at + 2), v.u32(at + 10), v.take(at + 18, 6 if d.sierra else 7), v.u8(flags_at), v.u8(at + 26), v.u8(at + 27), v.u16(at + 28), v.take(at + 33, size), v.take(rest, max(at + length - rest, 0)), v.u8(at + 1)
+            at += length
+            pos += 1
+
+    return run
+
+
+def iso_partitions(data: bytes) -> Iterator[tuple]:
+    """Partition descriptors among the descriptors from sector 16 up to the end mark."""
+    d = Disc(data)
+    shift = 8 if d.sierra else 0
+    for pos in range(256):
+        at = d.base + 2048 * pos + shift
+        kind = d.view.u8(at)
+        if kind == 255:
+            return
+        if kind == 3:
+            text = lambda a, n: d.view.take(a, n).decode("latin-1").rstrip(" \0")
+            yield pos, d.view.u8(at + 6), text(at + 8, 32), text(at + 40, 32), d.view.u32(at + 72), d.view.u32(at + 80)
+
+
+def iso_extended_attributes(block: int):
+    """The extended attribute record at a block, as the directory record of its file places it before the file's data."""
+
+    def run(data: bytes) -> Iterator[tuple]:
+        d = Disc(data)
+        v, at = d.view, block * d.block
+        width = 16 if d.sierra else 17
+        stamps = [v.take(at + 10 + width * i, 16).decode("latin-1") for i in range(4)]
+        after = at + 10 + 4 * width
+        form, attributes = v.unpack(after, "BB")
+        yield v.u16(at), v.u16(at + 4), View(v.data, ">").u16(at + 8), *stamps, form, attributes, v.u16(after + 2), v.take(after + 6, 32).decode("latin-1").rstrip(" \0"), v.u8(after + 102), v.u8(after + 103), v.u16(after + 168)
+
+    return run
+
+
 def iso_path_table(big_endian: bool = False):
     """Rows (pos, name, extent, parent) of the path table in one of its byte orders."""
 

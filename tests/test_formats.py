@@ -37,7 +37,7 @@ IMAGES = {
     "resources": (synth.pe_with_resources([(3, 1, 1033, b"abc"), (14, 2, 0, b"")]), [pe.pe_resources]),
     "ne": (NES, [ne.ne_header, ne.ne_entries, ne.ne_names, ne.ne_segments, ne.ne_relocations, ne.ne_import_modules, ne.ne_resources]),
     "fat": (synth.fat(FILES, 12), [disks.fat_header, disks.fat_entries, disks.fat_files, disks.fat_extract()]),
-    "iso": (synth.iso(FILES), [disks.iso_volume, disks.iso_files, disks.iso_extract(), disks.iso_path_table()]),
+    "iso": (synth.iso(FILES), [disks.iso_volume, disks.iso_files, disks.iso_extract(), disks.iso_path_table(), disks.iso_records(), disks.iso_partitions, disks.iso_extended_attributes(20)]),
     "cab": (synth.cab([(n, d) for n, d in FILES], 1), [disks.cab_files, disks.cab_blocks, disks.cab_extract()]),
     "dbg": (DBG, [debug.dbg_header, debug.dbg_sections, debug.dbg_directories, debug.cv_subsections, debug.cv_symbols, debug.cv_types, debug.cv_lines, debug.cv_modules, debug.cv_segment_map, debug.cv_file_index, debug.cv_libraries]),
     "clr": (CLR, [clr.clr_header, clr.clr_resources]),
@@ -205,6 +205,32 @@ def test_discs(sierra):
     assert next(iter(disks.iso_volume(synth.iso(FILES, sierra))))[:5] == (sierra, 1, 1, "SYNTH", "VOLUME")
 
 
+@pytest.mark.parametrize("sierra", [False, True])
+def test_disc_records(sierra):
+    image = synth.iso(FILES, sierra)
+    rows = list(disks.iso_records()(image))
+    assert [r[8] for r in rows] == [b"\0", b"\1", b"A.TXT;1", b"EMPTY;1", b"SUB"] and rows[2][2] == 5 and rows[4][4] & 2
+    sub = list(disks.iso_records(rows[4][1])(image))
+    assert [r[8] for r in sub[2:]] == [b"B.BIN;1", b"C;1"]
+    assert list(disks.iso_partitions(image)) == []
+    shift = 8 if sierra else 0
+    descriptor = bytearray(2048)
+    descriptor[shift], descriptor[shift + 6] = 3, 1
+    descriptor[shift + 8 : shift + 40], descriptor[shift + 40 : shift + 72] = b"SYS".ljust(32), b"PART".ljust(32)
+    descriptor[shift + 72 : shift + 76], descriptor[shift + 80 : shift + 84] = struct.pack("<I", 9), struct.pack("<I", 4)
+    changed = image[:0x8800] + bytes(descriptor) + image[0x8800 : 0x9000] + image[0x9800:]
+    assert list(disks.iso_partitions(changed)) == [(1, 1, "SYS", "PART", 9, 4)]
+
+
+def test_extended_attributes():
+    image = bytearray(synth.iso(FILES) + bytes(2048))
+    record = struct.pack("<H", 7) + struct.pack(">H", 7) + struct.pack("<H", 8) + struct.pack(">H", 8) + struct.pack(">H", 0x0011)
+    record += b"".join(f"200104010230420{i}".encode() + b"\0" for i in range(4)) + bytes([1, 2]) + struct.pack("<H", 80) + struct.pack(">H", 80) + b"SYS".ljust(32)
+    image[-2048 : -2048 + len(record)] = record
+    block = len(image) // 2048 - 1
+    assert list(disks.iso_extended_attributes(block)(bytes(image)))[0][:8] == (7, 8, 0x11, "2001040102304200", "2001040102304201", "2001040102304202", "2001040102304203", 1)
+
+
 @pytest.mark.parametrize("method", [0, 1, 3])
 def test_cabinets(method):
     files = [("a\\b.txt", b"one"), ("größe.txt", TEXT * 2), ("empty", b""), ("a\\b.txt", b"two")]
