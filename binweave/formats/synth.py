@@ -149,7 +149,7 @@ def ne_dll(bundles: list[tuple[int, list[tuple[int, int]]]], resident: list[tupl
 
 def lzss(data: bytes, start: int, extra: int = 3) -> bytes:
     """Greedy matches in a window of spaces."""
-    ring, at, out = bytearray(b" " * 4096), start, bytearray()
+    out = bytearray()
     seen: dict[bytes, int] = {}
     i = 0
     while i < len(data):
@@ -171,10 +171,7 @@ def lzss(data: bytes, start: int, extra: int = 3) -> bytes:
                 out[flag_at] |= 1 << bit
                 out.append(data[i])
             for k in range(i, i + n):
-                ring[at] = data[k]
-                at = (at + 1) % 4096
-                if k + 3 <= len(data):
-                    seen[data[k : k + 3]] = k
+                seen[data[k : k + 3]] = k
             i += n
     return bytes(out)
 
