@@ -68,7 +68,8 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, weight: str |
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-6)) if weight else F.lit(1.0)
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("src"), F.col(n_tokens).cast("bigint").alias("n"), w.alias("w"), (-F.log(unit) / w).alias("key"))
-    rows = materialise(rows.filter("src IS NOT NULL AND n > 0"))
+    # A filter on n before the table is written would be pushed below the tokenizer, which then runs twice.
+    rows = materialise(rows.filter("src IS NOT NULL")).filter("n > 0")
     sizes = rows.groupBy("src").agg(F.sum("n").alias("size"), F.count("*").alias("n_docs"), F.avg("w").alias("mean_w"))
     aims = targets.select(F.col("source").alias("src"), F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(0)), F.lit(0)).alias("cap"))
     plan = materialise(aims.filter("src IS NOT NULL").join(sizes, "src", "left").fillna(0, ["size", "n_docs"]))
