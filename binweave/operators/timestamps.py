@@ -218,9 +218,12 @@ def convert(frame: pd.DataFrame, tables: dict[str, Z.Zone], packed: bool) -> pd.
     return out
 
 
-def utc_seconds(df: DataFrame, text: Column, time: Column | None, zone: Column, out: str = "utc_second", packed: bool = False) -> DataFrame:
+def utc_seconds(df: DataFrame, text: Column, time: Column | None, zone: Column, out: str = "utc_second", packed: bool = False, keep: bool = True) -> DataFrame:
     """df with a bigint column `out`: the UTC second that text (and time, a separate clock text) denotes, or null.
 
+    keep=False leaves out rows without one. Prefer it to a filter on `out`: that would be pushed below the conversion, which
+    then runs twice.
+
     Any other columns are kept as they are, also those that clash with names used inside; a column named `out` is replaced.
     A full stamp in text is taken alone, whatever time says.
     """
@@ -238,4 +241,5 @@ def utc_seconds(df: DataFrame, text: Column, time: Column | None, zone: Column,
         return F.when((F.length(c) > 0) & (F.length(c) <= MAX_LENGTH), c)
 
     a, b = short(text), short(time)
-    return df.withColumn(out, seconds(a, shape(a), b, shape(b), zone.cast("string")))
+    done = df.withColumn(out, seconds(a, shape(a), b, shape(b), zone.cast("string")))
+    return done if keep else done.withColumn(out, F.explode(F.array_compact(F.array(F.col(out)))))

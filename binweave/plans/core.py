@@ -10,23 +10,24 @@ from binweave.operators.timestamps import utc_seconds
 from binweave.runtime import table
 
 
-def stamped(spark: SparkSession, sf: str) -> DataFrame:
-    """(table_name, row_id, utc_second) of every row of the three tables that hold timestamps; null if not determined."""
+def stamped(spark: SparkSession, sf: str, keep: bool = True) -> DataFrame:
+    """(table_name, row_id, utc_second) of the rows of the three tables that hold timestamps; null if not determined, or left
+    out with keep=False."""
     media = table(spark, sf, "media").select(F.col("medium_id").alias("m_id"), "zone_id")
 
     def with_zone(name: str, *cols: str) -> DataFrame:
         rows = table(spark, sf, name).select("row_id", "medium_id", *cols)
         return rows.join(media, rows.medium_id == media.m_id, "left").withColumn("table_name", F.lit(name))
 
-    headers = utc_seconds(with_zone("dbg_headers", "time_date_stamp"), F.col("time_date_stamp"), None, F.col("zone_id"))
-    fat = utc_seconds(with_zone("fat_files", "modification_date", "modification_time_h_m_2s"), F.col("modification_date"), F.col("modification_time_h_m_2s"), F.col("zone_id"), packed=True)
-    cab = utc_seconds(with_zone("cab_files", "date", "time"), F.col("date"), F.col("time"), F.col("zone_id"), packed=True)
+    headers = utc_seconds(with_zone("dbg_headers", "time_date_stamp"), F.col("time_date_stamp"), None, F.col("zone_id"), keep=keep)
+    fat = utc_seconds(with_zone("fat_files", "modification_date", "modification_time_h_m_2s"), F.col("modification_date"), F.col("modification_time_h_m_2s"), F.col("zone_id"), packed=True, keep=keep)
+    cab = utc_seconds(with_zone("cab_files", "date", "time"), F.col("date"), F.col("time"), F.col("zone_id"), packed=True, keep=keep)
     cols = ["table_name", "row_id", "utc_second"]
     return headers.select(*cols).unionByName(fat.select(*cols)).unionByName(cab.select(*cols))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return stamped(spark, sf).filter(F.col("utc_second").isNotNull())
+    return stamped(spark, sf, keep=False)
 
 
 def p1_determined(spark: SparkSession, sf: str) -> DataFrame:
