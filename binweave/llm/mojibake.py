@@ -1,6 +1,7 @@
 """Texts decoded with the wrong character encoding: find them and restore the original where possible.
 
-1. Words with non-ASCII characters are counted over the whole collection, per group of texts.
+1. Words with non-ASCII characters are counted over the whole collection, per group of texts. Every different text has one vote,
+   however many rows repeat it, so the copies of one garbled text outvote nothing.
 2. Twins: each word is joined with the commonest word of the same letters once non-ASCII characters are stripped. The two are
    aligned between their ASCII letters, which gives pairs of character runs; a transformation (the wrong decoder and the right
    one, once or twice applied) is inferred if it turns every run of the commoner word into that of the rarer one. Words with
@@ -132,9 +133,9 @@ def _stripped(word: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(grp, word, n) of the words with non-ASCII characters in (grp, text, n)."""
-    words = texts.select("grp", "n", F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("word"))
-    return words.groupBy("grp", "word").agg(F.sum("n").alias("n"))
+    """(grp, word, n) of the words with non-ASCII characters in the different texts (grp, text); n is the number of texts."""
+    words = texts.select("grp", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("word"))
+    return words.groupBy("grp", "word").agg(F.count("*").alias("n"))
 
 
 def learn(vocabulary: DataFrame, dominance: int = 3, support: int = 2) -> list[str]:
@@ -166,11 +167,15 @@ def garbled_words(vocabulary: DataFrame, names: list[str], dominance: int = 3) -
     best = F.max_by(F.struct("fixed", "how", "cut"), F.struct(known, to_utf8, F.substring("how", -1, 1), ~F.col("cut"), F.col("how")))
     first = materialise(tried.filter(sure).groupBy("grp", "word").agg(best.alias("b")).select("grp", "word", "b.*"))
 
-    # Characters that stand mostly in garbled words are foreign to the group.
+    # Characters that stand mostly in garbled words are foreign to the group. A word that turns into one at least as common is
+    # undecided by counts, so it does not vouch for its own characters.
+    undecided = tried.filter(known >= F.col("n")).select("grp", "word").distinct()
     letters = lambda df, c: df.select("grp", "n", F.explode(F.array_distinct(F.split(F.regexp_replace(c, "[\\x00-\\x7f]", ""), ""))).alias("ch")).filter("ch <> ''")
-    held = letters(fine.join(first.select("grp", "word"), ["grp", "word"], "left_anti"), F.col("word")).groupBy("grp", "ch").agg(F.sum("n").alias("clean"))
+    others = fine.join(first.select("grp", "word"), ["grp", "word"], "left_anti")
+    held = letters(others, F.col("word")).select("grp", "ch").distinct()
+    vouched = letters(others.join(undecided, ["grp", "word"], "left_anti"), F.col("word")).groupBy("grp", "ch").agg(F.sum("n").alias("clean"))
     bad = letters(fine.join(first.select("grp", "word"), ["grp", "word"]), F.col("word")).groupBy("grp", "ch").agg(F.sum("n").alias("dirty"))
-    foreign = bad.join(held, ["grp", "ch"], "left").filter(F.col("dirty") > 2 * F.coalesce("clean", F.lit(0))).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("ch")), "").alias("foreign"))
+    foreign = bad.join(vouched, ["grp", "ch"], "left").filter(F.col("dirty") > 2 * F.coalesce("clean", F.lit(0))).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("ch")), "").alias("foreign"))
     rest = tried.join(first.select("grp", "word"), ["grp", "word"], "left_anti").join(foreign, "grp")
     second = rest.filter((F.expr("length(translate(word, foreign, ''))") < F.length("word")) & (F.expr("length(translate(fixed, foreign, ''))") == F.length("fixed")) & (F.expr("length(fixed)") > 0))
     second = second.filter(~F.col("fixed").rlike("[\\x{80}-\\x{9f}]"))
@@ -217,7 +222,7 @@ def repair_table(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
     """(grp, text, restored, partial, how): one row per distinct garbled text. restored is null where nothing could be
     restored; partial tells that the text ended inside an encoded character, which is dropped from restored."""
     texts = df.select(F.col(group_col).cast("string").alias("grp"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-    texts = materialise(texts.groupBy("grp", "text").agg(F.count("*").alias("n")))
+    texts = materialise(texts.distinct())
     vocabulary = materialise(word_counts(texts))
     words = garbled_words(vocabulary, learn(vocabulary))
     stand = texts.select("grp", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("word"))

@@ -58,6 +58,22 @@ def test_garbled_words_are_found_and_restored(spark):
     assert right >= 0.95 * len(want), [(rows[i][2], w, got[i]) for i, w in want.items() if got[i] != w][:9]
 
 
+def test_copies_of_a_garbled_text_do_not_outvote_the_clean_ones(spark):
+    clean = [f"{w}{k}.txt" for k in range(60) for w in ("Größe", "Übersicht", "CHÂTEAU")]
+    spoil = lambda w: w.encode("cp1252").decode("cp437")
+    bad = [spoil(w) for w in ("Größe.doc", "Übersicht.doc", "PÂTÉ.doc")]
+    # As many different texts hold the garbled form as the clean one; a third of all rows are copies of one text.
+    tied = ["FENÊTRE", "FENÊTRE "]
+    tied_bad = [spoil(w) for w in tied]
+    more = [f"{w}{k}.txt" for k in range(60) for w in ("PÂTÉ", "FORÊT", "ÊTRE")] + [spoil("FORÊT.doc"), spoil("ÊTRE.doc")]
+    for copied in (bad[0], bad[1], tied_bad[0]):
+        texts = [*clean, *tied * 30, *more, *bad, *tied_bad]
+        texts += [copied] * (len(texts) // 2)
+        df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "id long, grp string, text string")
+        want = {i for i, t in enumerate(texts) if t in {*bad, *tied_bad, spoil("FORÊT.doc"), spoil("ÊTRE.doc")}}
+        assert {r.id for r in mojibake.garbled(df, "grp", "text").collect()} == want, copied
+
+
 def test_garbled_edge_cases(spark):
     df = spark.createDataFrame([], "id long, grp string, text string")
     assert mojibake.garbled(df, "grp", "text").collect() == []
