@@ -9,7 +9,7 @@ end one in any context, a third for words that often do). A context with fewer t
 two words and of its last word, so a rare trigram is judged by the more frequent parts.
 
 Digits count by their number (1994 as 9999). Padding and trailing dots are removed first. Null and empty texts are no cases;
-texts without words are none. Repeated rows count as often as they stand. Words over MAX_WORD letters are never completions.
+texts without words are none. Repeated rows have one vote and are all decided. Words over MAX_WORD letters are never completions.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ def truncated(df: DataFrame, id_col: str, text_col: str, max_terminal: float = 0
     character, which is a cut of itself. Extra columns are ignored, whatever their names."""
     tokens = F.concat(F.array(F.lit("^"), F.lit("^")), words(F.col(text_col)))
     partial = F.coalesce(F.col(partial_col), F.lit(False)) if partial_col else F.lit(False)
-    rows = materialise(df.select(F.col(id_col).alias("id"), tokens.alias("t"), partial.alias("partial")).filter(F.size("t") > 2))
-    # Equal texts are counted once with their number.
-    counted = rows.groupBy("t").agg(F.count("*").alias("n"))
-    grams = counted.select("n", F.size("t").alias("len"), F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
-    grams = grams.groupBy("g.a", "g.b", "g.c", "g.last").agg(F.sum("n").alias("n"))
+    rows = materialise(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), tokens.alias("t"), partial.alias("partial")).filter(F.size("t") > 2))
+    # Equal texts have one vote, however many rows repeat them; texts that differ in their digits only have one each.
+    grams = rows.select("text", "t").distinct().select(F.size("t").alias("len"), F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
+    grams = grams.groupBy("g.a", "g.b", "g.c", "g.last").agg(F.count("*").alias("n"))
     # Every further count is read from this table, so its plan is not repeated in each of them.
     tri = materialise(grams.groupBy("a", "b", "c").agg(F.sum(F.when(~F.col("last"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends")))
 

@@ -23,6 +23,15 @@ def test_truncation(spark):
     assert got == set(range(len(whole), len(whole) + len(cut)))
 
 
+def test_copies_of_a_cut_text_do_not_make_its_end_terminal(spark):
+    whole = statements(3000)
+    cut = ["Copyright 1991, Fonderie Typewo", "Copyright 1993, Norbekk Typeworks. All rights", "Copyright 1990, Norbekk"]
+    for copied in cut[:2]:
+        texts = [*whole, *cut, *[copied] * 1500]
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        assert {r.id for r in truncated(df, "id", "text").collect()} == set(range(len(whole), len(texts))), copied
+
+
 def test_truncation_without_rows_and_partial_character(spark):
     assert truncated(spark.createDataFrame([], "id long, text string"), "id", "text").collect() == []
     rows = [(1, "One word", True), (2, "One word", None), (3, "z" * 50_000, False)]
