@@ -18,12 +18,27 @@ FAT_HEADER_SCHEMA = "variant int, bytes_per_sector int, sectors_per_cluster int,
 FAT_ENTRY_SCHEMA = "cluster bigint, kind string, next bigint"
 FAT_FILE_SCHEMA = "file_path string, attributes int, first_cluster bigint, size bigint, created_time int, created_date int, modified_time int, modified_date int"
 MEMBER_SCHEMA = "file_path string, data binary"
+MEMBER_OR_ERROR_SCHEMA = "file_path string, data binary, member_error string"
 ISO_FILE_SCHEMA = "file_path string, offset bigint, size bigint"
 VOLUME_SCHEMA = "high_sierra boolean, kind int, version int, system_id string, volume_id string, space_size bigint, block_size int, path_table_size bigint, root_location bigint, root_size bigint, volume_set_id string, publisher_id string, preparer_id string, application_id string, created string, modified string"
 CAB_FILE_SCHEMA = "pos int, file_path string, folder_index int, offset bigint, size bigint, date int, time int, attributes int, method string"
 CAB_BLOCK_SCHEMA = "folder_index int, pos int, checksum bigint, compressed int, uncompressed int, data_offset bigint"
 
 
+def _extracted(members: Iterator[tuple], errors: bool) -> Iterator[tuple]:
+    """Of (name, data, error) all rows with errors=True; else the sound members, and after the last of them the first error."""
+    failed = None
+    for name, data, error in members:
+        if errors:
+            yield name, data, error
+        elif error is None:
+            yield name, data
+        else:
+            failed = failed or f"{name}: {error}"
+    if failed:
+        raise FormatError(failed)
+
+
 class Fat:
     def __init__(self, data: bytes):
         v = self.view = View(data)
@@ -78,7 +93,8 @@ class Fat:
     def root(self) -> bytes:
         return self.bytes_of(self.view.u32(44)) if self.bits == 32 else self.view.take(self.root_at, self.roots * 32)
 
-    def files(self, listing: bytes, path: str = "", above: frozenset[int] = frozenset()) -> Iterator[tuple]:
+    def files(self, listing: bytes, path: str = "", above: frozenset[int] = frozenset(), errors: bool = False) -> Iterator[tuple]:
+        """Rows of FAT_FILE_SCHEMA. With errors=True a folder that cannot be read gives (path, error) and the rest goes on."""
         for at in range(0, len(listing) - 31, 32):
             raw = listing[at : at + 32]
             if not raw[0]:
@@ -91,9 +107,16 @@ class Fat:
             name = f"{path}{stem}.{ext}" if ext else f"{path}{stem}"
             first = v.u16(20) << 16 | v.u16(26) if self.bits == 32 else v.u16(26)
             if attributes & 0x10:
-                if first in above or len(above) > MAX_DEPTH:
-                    raise FormatError("cycle of folders")
-                yield from self.files(self.bytes_of(first), f"{name}/", above | {first})
+                try:
+                    if first in above or len(above) > MAX_DEPTH:
+                        raise FormatError("cycle of folders")
+                    inner = self.bytes_of(first)
+                except FormatError as e:
+                    if not errors:
+                        raise
+                    yield f"{name}/", str(e)
+                    continue
+                yield from self.files(inner, f"{name}/", above | {first}, errors)
             else:
                 yield name, attributes, first, v.u32(28), v.u16(14), v.u16(16), v.u16(22), v.u16(24)
 
@@ -118,17 +141,23 @@ def fat_files(data: bytes) -> Iterator[tuple]:
     yield from f.files(f.root())
 
 
-def fat_extract(wanted: frozenset[str] | None = None, padded: bool = False):
-    """Members cut to their size; padded keeps the rest of the last cluster."""
+def fat_extract(wanted: frozenset[str] | None = None, padded: bool = False, errors: bool = False):
+    """Members cut to their size; padded keeps the rest of the last cluster. errors: see _extracted."""
 
-    def run(data: bytes) -> Iterator[tuple]:
+    def members(data: bytes) -> Iterator[tuple]:
         f = Fat(data)
-        for name, _, first, size, *_ in f.files(f.root()):
-            if wanted is None or name in wanted:
-                raw = f.bytes_of(first) if first else b""
-                yield name, raw if padded else raw[:size]
+        for name, *rest in f.files(f.root(), errors=True):
+            if len(rest) == 1:
+                yield name, None, rest[0]
+            elif wanted is None or name in wanted:
+                try:
+                    raw = f.bytes_of(rest[1]) if rest[1] else b""
+                except FormatError as e:
+                    yield name, None, str(e)
+                else:
+                    yield name, raw if padded else raw[: rest[2]], None
 
-    return run
+    return lambda data: _extracted(members(data), errors)
 
 
 class Disc:
@@ -153,29 +182,35 @@ class Disc:
     def text(self, at: int, size: int) -> str:
         return self.view.take(self.at + at, size).decode("latin-1").rstrip(" \0")
 
-    def files(self) -> Iterator[tuple]:
+    def files(self, errors: bool = False) -> Iterator[tuple]:
+        """Rows of ISO_FILE_SCHEMA. With errors=True a folder that cannot be read gives (path, error) and the rest goes on."""
         v = self.view
         stack, seen = [("", v.u32(self.root_record + 2), v.u32(self.root_record + 10), 0)], set()
         while stack:
             path, extent, size, depth = stack.pop()
-            if extent in seen or depth > MAX_DEPTH:
-                raise FormatError("cycle of folders")
-            seen.add(extent)
-            at, end = extent * self.block, extent * self.block + size
-            while at < end:
-                length = v.u8(at)
-                if not length:
-                    at = (at // self.block + 1) * self.block
-                    continue
-                flags, name = v.u8(at + (24 if self.sierra else 25)), v.take(at + 33, v.u8(at + 32))
-                if name not in (b"\0", b"\1"):
-                    own = path + name.decode("latin-1")
-                    place, count = v.u32(at + 2), v.u32(at + 10)
-                    if flags & 2:
-                        stack.append((f"{own}/", place, count, depth + 1))
-                    else:
-                        yield own, place * self.block, count
-                at += length
+            try:
+                if extent in seen or depth > MAX_DEPTH:
+                    raise FormatError("cycle of folders")
+                seen.add(extent)
+                at, end = extent * self.block, extent * self.block + size
+                while at < end:
+                    length = v.u8(at)
+                    if not length:
+                        at = (at // self.block + 1) * self.block
+                        continue
+                    flags, name = v.u8(at + (24 if self.sierra else 25)), v.take(at + 33, v.u8(at + 32))
+                    if name not in (b"\0", b"\1"):
+                        own = path + name.decode("latin-1")
+                        place, count = v.u32(at + 2), v.u32(at + 10)
+                        if flags & 2:
+                            stack.append((f"{own}/", place, count, depth + 1))
+                        else:
+                            yield own, place * self.block, count
+                    at += length
+            except FormatError as e:
+                if not errors:
+                    raise
+                yield path, str(e)
 
 
 def iso_volume(data: bytes) -> Iterator[tuple]:
@@ -276,14 +311,21 @@ def iso_path_table(big_endian: bool = False):
 PATH_TABLE_SCHEMA = "pos int, name string, extent bigint, parent int"
 
 
-def iso_extract(wanted: frozenset[str] | None = None):
-    def run(data: bytes) -> Iterator[tuple]:
+def iso_extract(wanted: frozenset[str] | None = None, errors: bool = False):
+    """Members by path. errors: see _extracted."""
+
+    def members(data: bytes) -> Iterator[tuple]:
         d = Disc(data)
-        for name, offset, size in d.files():
-            if wanted is None or name in wanted:
-                yield name, d.view.take(offset, size)
+        for name, *rest in d.files(errors=True):
+            if len(rest) == 1:
+                yield name, None, rest[0]
+            elif wanted is None or name in wanted:
+                try:
+                    yield name, d.view.take(*rest), None
+                except FormatError as e:
+                    yield name, None, str(e)
 
-    return run
+    return lambda data: _extracted(members(data), errors)
 
 
 #: Compression methods by the low four bits of their code.
@@ -328,25 +370,28 @@ class Cab:
             yield folder, pos, checksum, packed, plain, at + 8 + self.block_extra
             at += 8 + self.block_extra + packed
 
-    def folder_bytes(self, folder: int, upto: int) -> bytes:
-        """The folder's bytes, at least up to a place; blocks behind it are not decoded."""
-        code = self.folders[folder][2]
-        method = code & 15
-        lzx = Lzx(code >> 8 & 31) if method == 3 else None
+    def folder_bytes(self, folder: int, upto: int) -> tuple[bytes, str | None]:
+        """The folder's bytes, at least up to a place, and the error that ended them before; blocks behind are not decoded."""
         out = bytearray()
-        for _, _, _, packed, plain, at in self.blocks(folder):
-            if len(out) >= upto:
-                break
-            raw = self.view.take(at, packed)
-            if method == 0:
-                out += raw
-            elif method == 1:
-                out += mszip_block(raw, bytes(out[-32768:]))
-            elif lzx is not None:
-                out += lzx.frame(raw, plain)
-            else:
-                raise FormatError(f"compression method {METHODS.get(method, method)} is not supported")
-        return bytes(out)
+        try:
+            code = self.folders[folder][2]
+            method = code & 15
+            lzx = Lzx(code >> 8 & 31) if method == 3 else None
+            for _, _, _, packed, plain, at in self.blocks(folder):
+                if len(out) >= upto:
+                    break
+                raw = self.view.take(at, packed)
+                if method == 0:
+                    out += raw
+                elif method == 1:
+                    out += mszip_block(raw, bytes(out[-32768:]))
+                elif lzx is not None:
+                    out += lzx.frame(raw, plain)
+                else:
+                    raise FormatError(f"compression method {METHODS.get(method, method)} is not supported")
+        except Exception as e:  # noqa: BLE001 - members before the bad block are sound
+            return bytes(out), str(e) or type(e).__name__
+        return bytes(out), None
 
 
 def cab_files(data: bytes) -> Iterator[tuple]:
@@ -359,24 +404,26 @@ def cab_blocks(data: bytes) -> Iterator[tuple]:
         yield from c.blocks(k)
 
 
-def cab_extract(wanted: frozenset[str] | None = None):
-    """Members by name; of equal names the last holds. A member that spans cabinets is an error."""
+def cab_extract(wanted: frozenset[str] | None = None, errors: bool = False):
+    """Members by name; of equal names the last holds. A member that spans cabinets is an error. errors: see _extracted."""
 
-    def run(data: bytes) -> Iterator[tuple]:
+    def members(data: bytes) -> Iterator[tuple]:
         c = Cab(data)
         last = {f[1]: f for f in c.files if wanted is None or f[1] in wanted}
         by_folder: dict[int, list] = {}
         for f in last.values():
             if f[2] in SPANNED:
-                raise FormatError("member spans cabinets")
-            by_folder.setdefault(f[2], []).append(f)
+                yield f[1], None, "member spans cabinets"
+            elif f[2] >= len(c.folders):
+                yield f[1], None, "no such folder"
+            else:
+                by_folder.setdefault(f[2], []).append(f)
         for folder, files in sorted(by_folder.items()):
-            if folder >= len(c.folders):
-                raise FormatError("no such folder")
-            held = c.folder_bytes(folder, max(f[3] + f[4] for f in files))
+            held, error = c.folder_bytes(folder, max(f[3] + f[4] for f in files))
             for f in files:
-                if f[3] + f[4] > len(held):
-                    raise FormatError("folder is too short")
-                yield f[1], held[f[3] : f[3] + f[4]]
+                if f[3] + f[4] > len(held) or error and not f[4] and not held:
+                    yield f[1], None, error or "folder is too short"
+                else:
+                    yield f[1], held[f[3] : f[3] + f[4]], None
 
-    return run
+    return lambda data: _extracted(members(data), errors)

@@ -30,16 +30,16 @@ def container_kind(content: str = "content"):
 
 def _single(data: bytes):
     # The only member of a compressed file has an empty name.
-    yield "", expand(data)
+    yield "", expand(data), None
 
 
 def members(files: DataFrame) -> DataFrame:
     """(path_parts, content, error): the members of all containers among (path_parts, content), one level deep."""
     known = files.withColumn("container", container_kind()).filter("container IS NOT NULL")
-    parsers = {"single": _single, "fat": disks.fat_extract(), "iso": disks.iso_extract(), "cab": disks.cab_extract()}
-    parts = [parse(known.filter(F.col("container") == k), run, disks.MEMBER_SCHEMA, ("path_parts",)) for k, run in parsers.items()]
+    parsers = {"single": _single, "fat": disks.fat_extract(errors=True), "iso": disks.iso_extract(errors=True), "cab": disks.cab_extract(errors=True)}
+    parts = [parse(known.filter(F.col("container") == k), run, disks.MEMBER_OR_ERROR_SCHEMA, ("path_parts",)) for k, run in parsers.items()]
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(F.concat("path_parts", F.array(F.coalesce("file_path", F.lit("")))).alias("path_parts"), F.col("data").alias("content"), "error")
+    return out.select(F.concat("path_parts", F.array(F.coalesce("file_path", F.lit("")))).alias("path_parts"), F.col("data").alias("content"), F.coalesce("member_error", "error").alias("error"))
 
 
 def expand_all(files: DataFrame, max_depth: int = 8, partitions: int | None = None) -> DataFrame:
@@ -57,8 +57,12 @@ def expand_all(files: DataFrame, max_depth: int = 8, partitions: int | None = No
 
 
 def scan_exports(files: DataFrame, containers: bool = False, compat: bool = False) -> DataFrame:
-    """(path_parts, kind, ordinal, name, error) of (path, content). With containers=True, files in containers too."""
+    """(path_parts, kind, ordinal, name, error) of (path, content). With containers=True, files in containers too;
+    a member or container that cannot be read gives a row with its path and the error."""
     rows = files.select(F.array("path").alias("path_parts"), "content")
     if containers:
-        rows = expand_all(rows).filter("error IS NULL").select("path_parts", "content")
+        every = expand_all(rows)
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("ordinal", "bigint"), ("name", "string"))]
+        failed = every.filter("error IS NOT NULL").select("path_parts", *nothing, "error")
+        return exports(every.filter("error IS NULL").select("path_parts", "content"), ("path_parts",), compat).unionByName(failed)
     return exports(rows, ("path_parts",), compat)

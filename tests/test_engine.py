@@ -47,6 +47,20 @@ def test_scan_and_exports(spark, folder):
     assert rows(inner, F.slice("path_parts", 2, 3), "ordinal", "name") == sorted([(["C.CAB;1", "in.dl_", ""], i, n) for i, n in ((1, "One"), (2, None), (3, "Three"))], key=repr)
 
 
+def test_an_unreadable_member_does_not_end_its_container(spark):
+    cab = bytearray(synth.cab([("bad", b"x"), ("a.dll", DLL)]))
+    cab[52:54] = b"\xfd\xff"  # the first member's folder
+    iso = bytearray(synth.iso([("A.DLL", DLL), ("B.DLL", DLL)]))
+    at = iso.index(b"A.DLL;1") - 33
+    iso[at + 2 : at + 6] = b"\xff\xff\xff\x00"
+    fat = bytearray(synth.fat([("A.TXT", b"x" * 1500), ("B.DLL", DLL)], 12))
+    fat[512 + 3 : 512 + 6] = bytes([0x03, 0x20, 0x00])
+    df = spark.createDataFrame([("cab", cab), ("iso", iso), ("fat", fat)], "path string, content binary")
+    out = containers.scan_exports(df, containers=True)
+    assert rows(out.filter("error IS NULL").distinct(), F.concat_ws("/", "path_parts"), "ordinal") == [(p, i) for p in ("cab/a.dll", "fat/B.DLL", "iso/B.DLL;1") for i in (1, 2, 3)]
+    assert rows(out.filter("error IS NOT NULL"), F.concat_ws("/", "path_parts")) == [("cab/bad",), ("fat/A.TXT",), ("iso/A.DLL;1",)]
+
+
 def test_ne_ordinals_from_zero(spark):
     df = spark.createDataFrame([("x", bytearray(NE))], "path string, content binary")
     assert rows(exports.exports(df, compat=True), "ordinal", "name") == sorted([(0, "D"), (4, None)], key=repr)
