@@ -88,7 +88,9 @@ def _lzh(data: bytes) -> bytes:
     match, match2, runs, places, literals = (PrefixCode.canonical(_lzh_lengths(bits, k, n), partial=True) for k, n in zip(kinds, (16, 16, 32, 64, 256)))
     after_literals = False
     try:
-        while len(window) < MAX_OUTPUT:
+        while True:
+            if len(window) > MAX_OUTPUT:
+                raise FormatError("output too long")
             n = (match2 if after_literals else match).read(bits)
             if n:
                 window.copy_back((places.read(bits) << 6 | bits.read(6)) or window.size, n + 2)

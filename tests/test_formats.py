@@ -178,6 +178,15 @@ def test_canonical_codes():
         PrefixCode.canonical([1, 2])
 
 
+def test_lzh_over_the_limit_is_an_error(monkeypatch):
+    raw = synth.kwaj(b"x" * 1000, 3)
+    monkeypatch.setattr(compressed, "MAX_OUTPUT", 1000)
+    assert compressed.kwaj(raw) == b"x" * 1000
+    monkeypatch.setattr(compressed, "MAX_OUTPUT", 900)
+    with pytest.raises(FormatError, match="too long"):
+        compressed.kwaj(raw)
+
+
 def test_compat_offset_of_kwaj():
     raw = bytes.fromhex("4B57414A88F027D1") + struct.pack("<H", 0) + struct.pack(">H", 16) + bytes(4) + b"data"
     assert compressed.kwaj(raw, compat=True) == b"data"
