@@ -1,5 +1,9 @@
 """SQL for the text problems that SQL can express, run by another engine over the same tables."""
 
+from __future__ import annotations
+
+from binweave.llm.leakage import ACCENTS, LETTERS
+
 _TERMS = """
 WITH held AS (
   SELECT file_id, decode(name) AS term FROM (
@@ -40,7 +44,51 @@ WITH held AS (SELECT DISTINCT file_id, name FROM exports WHERE name IS NOT NULL
 SELECT file_id_a, file_id_b FROM shared JOIN sizes x ON x.file_id = file_id_a JOIN sizes y ON y.file_id = file_id_b WHERE k * 5 >= (x.n + y.n - k) * 4
 """
 
+
+
+def _tex_words(text: str) -> str:
+    """The words of a text as leakage.words reads them, as an SQL expression."""
+    letter = r"(?:\\([ij])|(\p{L}))"
+    around = lambda x: f"chr(57344) || {x} || chr(57345)"
+    out = f"replace({text}, chr(92) || chr(92), ' ')"
+    for mark, combining in ACCENTS.items():
+        quoted = mark.replace("'", "''")
+        if mark.isalpha():
+            pattern = rf"\\{quoted}(?:[ \t]*\{{[ \t]*{letter}[ \t]*\}}|[ \t]+(\p{{L}}))"
+            back = r"'\1\2\3'"
+        else:
+            pattern = rf"\\[{quoted}][ \t]*(?:\{{[ \t]*{letter}[ \t]*\}}|{letter})" if mark != "^" else rf"\\\^[ \t]*(?:\{{[ \t]*{letter}[ \t]*\}}|{letter})"
+            back = r"'\1\2\3\4'"
+        combined = f"{back} || chr({ord(combining)})"
+        out = f"regexp_replace({out}, '{pattern}', {around(combined)}, 'g')"
+    for name, printed in LETTERS.items():
+        out = rf"regexp_replace({out}, '\\{name}(?:\b(?:\{{\}}|[ \t]+)?|([0-9_]))', {around(f"'{printed}'")} || '\1', 'g')"
+    for gone in ("'{' || chr(57344)", "chr(57345) || '}'", "chr(57344)", "chr(57345)"):
+        out = f"replace({out}, {gone}, '')"
+    return rf"regexp_extract_all(lower(nfc_normalize(regexp_replace({out}, '\\[A-Za-z]+\*?', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+
+
+def _windows(name: str, key: str, table: str) -> str:
+    words = f"SELECT {key}, {_tex_words('text')} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL"
+    return f"{name} AS (SELECT {key}, i - 1 AS at, array_to_string(w[i : i + 12], ' ') AS grams FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM ({words})))"
+
+
+_LEAKS = f"""
+WITH {_windows("d", "doc_id", "documents")}, {_windows("e", "item_id", "eval_items")}, same AS (
+  SELECT doc_id, item_id, d.at AS doc_word, e.at AS item_word,
+         d.at - row_number() OVER (PARTITION BY doc_id, item_id, d.at - e.at ORDER BY d.at) AS run FROM d JOIN e USING (grams)
+), runs AS (
+  SELECT doc_id, item_id, count(*) + 12 AS n_words, min(doc_word) AS doc_word, min(item_word) AS item_word FROM same GROUP BY doc_id, item_id, doc_word - item_word, run
+), longest AS (
+  SELECT doc_id, item_id, CAST(n_words AS INT) AS n_words, CAST(doc_word AS INT) AS doc_word, CAST(item_word AS INT) AS item_word FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) = 1
+)
+"""
+
 SQL = {
+    "p8_matches": _LEAKS + "SELECT doc_id, item_id, n_words, doc_word, item_word FROM longest",
+    "p8_found": _LEAKS + "SELECT doc_id, item_id FROM longest",
+    "p8_kept": _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM longest)",
     "p7_found": _SIMILAR,
     "p4_found": _TERMS + "SELECT term, mark FROM marked WHERE mark <> 'useful'",
     "p4_terms": _TERMS + "SELECT term, occurrences, n_files, mark FROM marked",

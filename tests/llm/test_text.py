@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from binweave.llm import leakage, mojibake, quality
@@ -99,26 +100,27 @@ def passages(n=12, seed=3):
 
 
 def brute(docs, items, n):
+    """The longest match of every document and passage with its places, of equal ones the first."""
     out = {}
     for d, t in docs:
         w = leakage.words(t)
         for k, x in items:
             v = leakage.words(x)
-            best = 0
             for i in range(len(w)):
                 for j in range(len(v)):
                     m = 0
                     while i + m < len(w) and j + m < len(v) and w[i + m] == v[j + m]:
                         m += 1
-                    best = max(best, m)
-            if best >= n:
-                out[d, k] = best
-    return out
+                    if m >= n:
+                        out[d, k] = max(out.get((d, k), (0, 0, 0)), (m, -i, -j))
+    return {k: (m, -i, -j) for k, (m, i, j) in out.items()}
 
 
 def test_leaks_against_brute_force(spark):
     r, items = random.Random(8), passages()
-    items += [(50, items[0][1]), (51, "short text"), (None, items[1][1]), (52, None)]
+    # Equal passages, passages that share a stretch after different words, and repeated ids.
+    shared = items[2][1]
+    items += [(50, items[0][1]), (51, "short text"), (None, items[1][1]), (52, None), (53, "w1 w2 " + shared), (54, "w3 " + shared + " w4"), (55, shared + " " + shared), (55, items[4][1])]
     docs = []
     for d in range(60):
         words = [f"w{r.randrange(70)}" for _ in range(r.randint(0, 80))]
@@ -127,18 +129,40 @@ def test_leaks_against_brute_force(spark):
             a = r.randrange(max(1, len(own) - 12))
             words[5:5] = own[a : a + r.randint(8, 30)]
         docs.append((d, (" , " if d % 2 else "\n% ").join(words).upper()))
-    docs += [(100, None), (101, ""), (None, items[0][1]), (102, items[3][1] + " " + items[3][1]), (102, items[3][1])]
+    docs += [(100, None), (101, ""), (None, items[0][1]), (102, items[3][1] + " " + items[3][1]), (102, items[3][1]), (103, "w2 " + shared), (104, shared + " w9 " + shared + " w4"), (105, "w7 " * 40)]
+    items.append((56, "w7 " * 30))
     df = spark.createDataFrame([(*x, "e") for x in docs], "doc_id long, text string, item string")
     known = [(k, x) for k, x in items if k is not None and x is not None]
     want = brute([(d, t) for d, t in docs if d is not None and t], known, 13)
+    assert {k for _, k in want} >= {50, 53, 54, 55, 56}
     it = spark.createDataFrame(items, "item_id long, text string")
-    for size in (16_000_000, 700):
-        got = {(x.doc_id, x.item_id): x.n_words for x in leakage.leaks(df, "doc_id", "text", it, "item_id", "text", block_chars=size).collect()}
-        assert got == want
+    for block, shard in ((16_000_000, 4_000_000), (700, 4_000_000), (16_000_000, 500), (1, 1)):
+        found = leakage.leaks(df, "doc_id", "text", it, "item_id", "text", block_chars=block, shard_chars=shard)
+        assert {(x.doc_id, x.item_id): (x.n_words, x.doc_word, x.item_word) for x in found.collect()} == want, (block, shard)
     assert leakage.leaks(df.limit(0), "doc_id", "text", it, "item_id", "text").collect() == []
     assert leakage.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").collect() == []
 
 
+def test_suffix_arrays_are_in_full_order():
+    r = random.Random(2)
+    for _ in range(60):
+        codes = [c for _ in range(r.randint(0, 5)) for c in [*([r.randint(1, 3) for _ in range(r.randint(0, 40))] * r.randint(1, 3)), 0]]
+        suffix = lambda i: (codes[i : codes.index(0, i)], i)
+        assert leakage.suffix_array(np.array(codes, dtype=np.int64)).tolist() == sorted((i for i, c in enumerate(codes) if c), key=suffix)
+    for n in (0, 5, 1 << 24):
+        values = np.array([n, 0, 7])
+        assert leakage._unpack(leakage._pack(values)).tolist() == values.tolist()
+
+
+def test_copies_of_a_passage_and_a_document(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string")
+    it = spark.createDataFrame([(i, text) for i in range(50)], "item_id long, text string")
+    found = leakage.leaks(df, "doc_id", "text", it, "item_id", "text")
+    assert found.count() == 15_000 and found.select("n_words", "doc_word", "item_word").distinct().collect() == [(40, 0, 0)]
+    assert leakage.without_leaks(df, "doc_id", found).count() == 0
+
+
 def test_words_of_tex():
     assert leakage.words(r"Gr{\"o}{\ss}e, gr\"o\ss e \'{e}tude \emph{l\'ab} \c{c}a \alpha x%y") == ["größe", "größe", "étude", "láb", "ça", "x", "y"]
     assert leakage.words(None) == [] and leakage.words("\\section*{One} a\\\\b") == ["one", "a", "b"]
