@@ -62,9 +62,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 # p6
 def _lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf, "export_lines").select("line_id", "line")
-    file, ordinal, name = records.export_record(F.col("line"))
-    return records.formatting_duplicates(lines, "line_id", {"file": file, "ordinal": ordinal, "name": name})
+    lines = records.export_records(table(spark, sf, "export_lines"), "line_id", "line")
+    return records.formatting_duplicates(lines, "line_id", {c: F.col(c) for c in ("file", "ordinal", "name")})
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

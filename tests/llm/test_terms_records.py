@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from binweave.llm.records import export_record, formatting_duplicates
+from binweave.llm.records import digest, export_records, formatting_duplicates
 from binweave.llm.terms import term_frequencies
 
 
@@ -41,10 +41,12 @@ LINES = [
 GROUPS = [[0, 1, 2, 3, 13], [4, 5], [6], [14, 15], [18, 19]]
 
 
+NAMES = ("file", "ordinal", "name")
+
+
 def run(spark, rows):
     df = spark.createDataFrame(rows, "line_id long, line string, root string")
-    f, o, n = export_record(F.col("line"))
-    groups, members = formatting_duplicates(df, "line_id", {"file": f, "ordinal": o, "name": n})
+    groups, members = formatting_duplicates(export_records(df, "line_id", "line"), "line_id", {c: F.col(c) for c in NAMES})
     return sorted(tuple(r) for r in groups.collect()), sorted(tuple(r) for r in members.collect())
 
 
@@ -66,3 +68,28 @@ def test_records_hot_group_ties_and_empty(spark):
 def test_json_layout_keys_in_any_case_and_order(spark):
     groups, _ = run(spark, [(1, json.dumps({"Name": "a", "FILE": "b", "ordinal": "3"}), "r"), (2, json.dumps({"ordinal": 3, "file": "B", "name": "A"}), "r")])
     assert groups == [(1, 2)]
+
+
+def test_equal_keys_of_an_object_do_not_end_the_query(spark):
+    lines = ['{"File":"a","file":"b","ordinal":"1","name":"x","NAME":"y"}', '{"file":"a","ordinal":"1","name":"x"}', '{"file":"a","file":"c","ordinal":"1","name":"x"}', "file=a;FILE=b;ordinal=1;name=x"]
+    groups, members = run(spark, [(i, x, "r") for i, x in enumerate(lines)])
+    assert groups == [(0, 4)] and members == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_different_records_with_equal_roots_are_told_apart(spark):
+    rows = [(i, f'["F{i % 3}"]\t1\tx') for i in range(30)] + [(100, '["G"]\t1\tx')]
+    df = spark.createDataFrame(rows, "line_id long, line string")
+    for root in (lambda c, t: F.lit(1), lambda c, t: F.pmod(digest(c, t), F.lit(2))):
+        groups, members = formatting_duplicates(export_records(df, "line_id", "line"), "line_id", {c: F.col(c) for c in NAMES}, root)
+        assert sorted(map(tuple, groups.collect())) == [(0, 10), (1, 10), (2, 10), (100, 1)]
+        assert sorted(map(tuple, members.collect())) == sorted((i % 3, i) for i in range(3, 30))
+
+
+def test_nested_records(spark):
+    rows = [
+        (1, ["A", "b"], {"x": "1", "Y": "Z"}, (1, "T")), (2, ["a", "B!"], {"y": "z", "X": "1 "}, (1, "t")), (3, ["b", "a"], {"x": "1", "y": "z"}, (1, "t")),
+        (4, ["ab"], {"x": "1", "y": "z"}, (1, "t")), (5, ["a", "b"], {"x": "1"}, (1, "t")), (6, ["a", None], {"x": "1"}, (1, "t")), (7, ["a", ""], {"x": "1"}, (1, "t")), (8, None, None, None), (9, ["a"], None, None), (10, ["A"], None, None),
+    ]
+    df = spark.createDataFrame(rows, "line_id long, p array<string>, m map<string,string>, s struct<k:int,v:string>")
+    groups, members = formatting_duplicates(df, "line_id", {c: F.col(c) for c in "pms"})
+    assert sorted(map(tuple, members.collect())) == [(1, 2), (9, 10)] and groups.count() == 7
