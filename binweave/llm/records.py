@@ -23,6 +23,10 @@ from pyspark.sql import types as T
 from binweave.runtime import join_counted, materialise
 
 
+#: White space and the mark that some tools put before a text.
+_BLANKS = " \t\n\v\f\r\ufeff"
+
+
 def bare(text: Column) -> Column:
     """Letters and digits only, lower case."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
@@ -77,7 +81,7 @@ def export_records(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     """
     # Each step is a projection of its own, so nothing that several fields need is computed for each of them.
     rows = df.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("line"))
-    rows = rows.select("line_id", F.regexp_replace("line", r"^[\s\x{feff}]+|\s+$", "").alias("text"), F.split("line", "\t", -1).alias("cells"))
+    rows = rows.select("line_id", F.btrim("line", F.lit(_BLANKS)).alias("text"), F.split("line", "\t", -1).alias("cells"))
     is_json = F.col("text").startswith("{")
     # A trailing tab of an empty name must survive, so this layout is split from the untouched line.
     is_tab = ~is_json & (F.size("cells") == 3)
