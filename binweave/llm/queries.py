@@ -122,22 +122,29 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # p10
-MAX_COMMON = 100_000
+def _text_statistics(spark: SparkSession, sf: str, max_common: int = 100_000) -> DataFrame:
+    """The list of function words is fixed; one of over max_common words is an error."""
+    words = table(spark, sf, "common_words").select("word").filter("word IS NOT NULL").distinct()
+    common = [r.word for r in words.orderBy("word").limit(max_common + 1).collect()]
+    if len(common) > max_common:
+        raise ValueError(f"a list of function words has at most {max_common} words")
+    return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
 
 
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "common_words").select("word").filter("word IS NOT NULL").distinct()
-    if words.count() > MAX_COMMON:
-        raise ValueError(f"a list of function words has at most {MAX_COMMON} words")
-    common = [r.word for r in words.orderBy("word").collect()]
-    return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+    return _text_statistics(spark, sf).drop("prose_share", "shape")
+
+
+def p10_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of running prose in every document, and its shape where that is less than half."""
+    return _text_statistics(spark, sf).select("doc_id", "prose_share", "shape")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_stats(spark, sf).filter("shape IS NOT NULL").select("doc_id", "shape")
+    return _text_statistics(spark, sf).filter("shape IS NOT NULL").select("doc_id", "shape")
 
 
 QUERIES = {
     "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_copies": p6_copies,
-    "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_kept": p8_kept, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_kept": p8_kept, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats, "p10_shapes": p10_shapes,
 }

@@ -85,7 +85,26 @@ WITH {_windows("d", "doc_id", "documents")}, {_windows("e", "item_id", "eval_ite
 )
 """
 
+#: White space in regular expressions, as Unicode has it.
+_BLANK = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+_STATISTICS = rf"""
+WITH w AS (
+  SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words, length(text) - length(regexp_replace(text, '[{_BLANK}]', '', 'g')) AS spaces,
+         list_filter(string_split(regexp_replace(text, '\\(?:begin|end)\{{document\}}', chr(10), 'g'), chr(10)), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS lines FROM documents
+), n AS (
+  SELECT doc_id, length(text) AS n_chars, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS letters, spaces, len(lines) AS n_lines,
+         len(list_filter(lines, lambda l: regexp_matches(l, '[.!?:;…。！？]["''”’»)\]}}]{{0,7}}[{_BLANK}]*$'))) AS n_ended,
+         len(list_filter(words, lambda x: list_contains(common, x))) AS n_common
+  FROM w, (SELECT list(DISTINCT lower(word)) AS common FROM common_words WHERE word IS NOT NULL)
+)
+SELECT doc_id, n_chars, CAST(n_words AS BIGINT) AS n_words, CASE WHEN n_words > 0 THEN letters / n_words END AS mean_word_length,
+  CASE WHEN n_chars > spaces THEN (n_chars - spaces - coalesce(letters, 0)) / (n_chars - spaces) END AS symbol_ratio,
+  CASE WHEN n_lines > 0 THEN n_ended / n_lines END AS ended_line_share, CASE WHEN n_words > 0 THEN n_common / n_words END AS common_word_share FROM n
+"""
+
 SQL = {
+    "p10_stats": _STATISTICS,
     "p8_matches": _LEAKS + "SELECT doc_id, item_id, n_words, doc_word, item_word FROM longest",
     "p8_found": _LEAKS + "SELECT doc_id, item_id FROM longest",
     "p8_kept": _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM longest)",

@@ -178,28 +178,48 @@ TEXTS = [
 SHAPES = [None, "list", "table", "table", "junk", "junk", "junk", None, "list", "list", None, None, "list", None, None, "junk", "junk"]
 
 
-def close(a, b):
-    return all((x is None) == (y is None) and (x == y if isinstance(x, (str, type(None))) else abs(x - y) < 1e-9) for x, y in zip(a, b))
+PIECES = ["a", "b", "c", "ab", "the", " ", "  ", "\t", "\n", "\n", "&", "|", "\\", "1", "2,", "3;", "--", "–", "%", "\\item ", "\\begin{document}", "\\end{document}", "Σας", "é", "\x01", "¬", "x" * 40, "x" * 31, "12,3,4" + "5" * 30, ".", "!)", "of the field is weak and the model "]
 
 
-def test_states_are_associative():
+def test_states_are_the_same_wherever_a_text_is_cut():
     r = random.Random(5)
-    for t in TEXTS:
-        t = t[:4000]
+    texts = ["a ab c ab ab c c", *[t[:3000] for t in TEXTS], *["".join(r.choice(PIECES) for _ in range(r.randint(0, 40))) for _ in range(400)]]
+    for t in texts:
         whole = quality.finish(quality.state_of(t, COMMON))
-        for k in (1, 3, 17, 64, 300):
-            pieces = [quality.state_of(t[i : i + k], COMMON, t[max(0, i - 20) : i], t[i + k : i + k + 20]) for i in range(0, len(t), k)] or [quality.state_of("", COMMON)]
+        steps = [1, 2, 5, 17] if len(t) < 500 else [97, 300]
+        for k in steps:
+            cuts = sorted({0, len(t), *range(r.randint(0, k), len(t), k)})
+            pieces = [quality.state_of(t[i:j], COMMON, t[max(0, i - 20) : i], t[j : j + 20]) for i, j in zip(cuts, cuts[1:])] or [quality.state_of("", COMMON)]
             while len(pieces) > 1:
                 i = r.randrange(len(pieces) - 1)
                 pieces[i : i + 2] = [quality.merge(pieces[i], pieces[i + 1], COMMON)]
-            assert close(quality.finish(pieces[0]), whole), (t[:40], k)
+            assert quality.finish(pieces[0]) == whole, (t[:60], k)
+
+
+def test_every_cut_of_one_line():
+    for t in ("a ab c ab ab c c", "Word, one  two\t3 & 4 \\\\", "%% %% %% %% %% %%", "x" * 70 + " " + "x" * 70 + " y", "  a,1;b,2,3 -- "):
+        for i in range(len(t) + 1):
+            for j in range(i, len(t) + 1):
+                joined = quality.join_parts(quality.join_parts(quality.part_of(t[:i]), quality.part_of(t[i:j])), quality.part_of(t[j:]))
+                got, want = quality.whole_line(joined), quality.line_of(t)
+                # Which of many different words are kept does not matter, only how many up to three.
+                assert len(got.counts.few) == len(want.counts.few), (t, i, j)
+                got.counts.few = want.counts.few
+                assert got == want, (t, i, j)
+
+
+def test_junk_of_repeated_and_random_characters():
+    noise = "".join(chr(c) for c in random.Random(1).choices(range(1, 256), k=4000))
+    for t in ("%% %% %% %% %% %% %% %%\n" * 40, noise, noise.replace("%", "&")):
+        assert quality.finish(quality.state_of(t, COMMON))[-1] == "junk"
+    assert quality.finish(quality.state_of("% a comment of some words that is left out\n" + PROSE, COMMON))[-1] is None
 
 
 def test_statistics(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(99, None, "x"), (0, TEXTS[0], "x")]
     df = spark.createDataFrame(rows, "id long, text string, state string")
-    for chunk in (65_536, 100):
-        got = quality.text_statistics(df, "id", "text", list(COMMON), chunk).collect()
+    for chunk, fan in ((65_536, 64), (100, 3)):
+        got = quality.text_statistics(df, "id", "text", list(COMMON), chunk, fan).collect()
         assert len(got) == len(rows)
         by = {r.id: r for r in got}
         assert [by[i].shape for i in range(len(TEXTS))] == SHAPES
@@ -211,3 +231,9 @@ def test_statistics(spark):
 def test_statistics_count_every_document(spark):
     df = spark.range(500).select(F.col("id"), F.concat_ws(" ", F.lit("The model of the field"), F.col("id").cast("string")).alias("text"))
     assert quality.text_statistics(df, "id", "text", ["the", "of"]).agg(F.sum("n_words")).first()[0] == 3000
+
+
+def test_chunks_of_one_long_document_are_spread(spark):
+    df = spark.createDataFrame([(1, PROSE * 20_000)], "id long, text string")
+    out = quality.text_statistics(df, "id", "text", list(COMMON))
+    assert out.first().n_words == 20_000 * len(PROSE.split()) and out.first().shape is None
