@@ -13,7 +13,7 @@ from binweave.functions import codes, dostime
 from binweave.functions import text_expr as X
 from binweave.operators import containers, exports, rules, sections
 from binweave.operators.graph import components
-from binweave.runtime import join_counted
+from binweave.runtime import join_counted, join_salted
 from binweave.sources import files as src
 from binweave.streaming import scan
 
@@ -183,3 +183,22 @@ def test_queries_and_sql_have_the_same_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert expand(synth.sz(b"x")) == b"x" and disks.METHODS[3] == "lzx"
+
+
+def test_joins_divide_heavy_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 40}") for i in range(6000)] + [(9999, None), (9998, "none")], "id long, k string")
+    groups = spark.createDataFrame([("hot", 1), ("hot", 2), *[(f"k{i}", 3) for i in range(0, 40, 4)]], "k string, v int")
+    sizes = rows.groupBy("k").count()
+    want = {how: sorted(map(tuple, rows.join(groups, ["k"], how).select("id", "v").collect()), key=repr) for how in ("inner", "left")}
+    for heavy in (3, 1000):
+        for how in want:
+            assert sorted(map(tuple, join_salted(rows, groups, ["k"], sizes, "count", heavy, how).select("id", "v").collect()), key=repr) == want[how]
+    one = groups.filter("v <> 2").join(sizes, "k")
+    assert join_counted(rows, one, ["k"], "count", 3).count() == rows.join(one, "k").count()
+    assert join_salted(rows.limit(0), groups, ["k"], sizes.limit(0), "count").count() == 0
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5100)] + [(7000, 7000), (None, 3), (8001, 8000)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
+    assert got == {**{i: 0 for i in range(3000)}, **{i: 5000 for i in range(5000, 5101)}, 7000: 7000, 8000: 8000, 8001: 8000}
