@@ -7,7 +7,8 @@
    plane. A class is compared with a block by XOR with its own bits; differing bits are added up in bit-sliced counters with
    carry-save adders, and a block is abandoned once all its lanes exceed the radius. The distance of two parity sketches never
    exceeds the size of the symmetric difference, so no pair is lost.
-4. The remaining pairs are confirmed on the item sets themselves.
+4. The remaining pairs are confirmed on the whole item sets. Items are compared by 64-bit hashes throughout, classes are formed
+   by two such hashes of the whole set; the few bits by which two different items of a pair could agree by chance are not looked at.
 
 Items held by at least one HOT-th of all (class, item) pairs are at most HOT many, whatever the data; only they go to the driver
 and the workers. All other buckets are thereby bounded; a bucket over `bucket` rows is split into cells of two chunks each, so
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binweave.operators.graph import components
-from binweave.runtime import join_counted, materialise
+from binweave.runtime import join_counted, join_salted, materialise
 
 PLANES, LANES, STEP, HOT = 256, 64, 32, 10_000
 _PREFIX = "bucket bigint, cls bigint, size int, indexed boolean, sketch binary"
@@ -222,20 +223,29 @@ def near_duplicates(df: DataFrame, id_col: str, item_col: str, num: int = 4, den
     run = _prefixes(hot[by_value], np.arange(1, len(hot) + 1)[by_value], num, den)
     prefixes = classes.select("cls", "items").mapInArrow(run, _PREFIX)
     cells = _cells(prefixes, bucket).repartition("bucket").sortWithinPartitions("bucket", "size", "cls")
-    found = cells.mapInArrow(_compare_batches(num, den), "a bigint, b bigint").distinct()
+    found = materialise(cells.mapInArrow(_compare_batches(num, den), "a bigint, b bigint").distinct())
 
+    # A class of many candidates is joined in parts.
     sides = classes.select("cls", "items")
-    both = found.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b")
+    both = join_salted(found, sides.toDF("a", "x"), ["a"], found.groupBy("a").count(), "count")
+    both = join_salted(both, sides.toDF("b", "y"), ["b"], found.groupBy("b").count(), "count")
     shared = F.size(F.array_intersect("x", "y"))
     confirmed = both.filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
     return Classes(members, classes.select("cls", "items", "n"), materialise(confirmed))
 
 
 def record_pairs(c: Classes) -> DataFrame:
-    """(a, b), a < b: all pairs of records that reach the threshold, those of equal sets included."""
+    """(a, b), a < b: all pairs of records that reach the threshold, those of equal sets included. The result of n equal sets has
+    n (n - 1) / 2 rows; record_groups states the same in one row per record, and is the form for large collections.
+
+    The members of a large class are divided over many tasks."""
     m = materialise(c.members)
-    inside = m.alias("x").join(m.alias("y"), (F.col("x.cls") == F.col("y.cls")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    across = c.pairs.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sizes = c.classes.select("cls", "n")
+    inside = join_salted(m.toDF("a", "cls"), m.toDF("b", "cls"), ["cls"], sizes, "n").filter("a < b").select("a", "b")
+    left = materialise(join_salted(m.toDF("x", "cls"), c.pairs.toDF("cls", "other"), ["cls"], sizes, "n").select("x", F.col("other").alias("cls")))
+    # A class stands here once for every record on the other side.
+    ends = left.groupBy("cls").agg(F.count("*").alias("k")).join(sizes, "cls").select("cls", F.greatest("k", "n").alias("n"))
+    across = join_salted(left, m.toDF("y", "cls"), ["cls"], ends, "n").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return inside.unionByName(across)
 
 
