@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.runtime import materialise
+from binweave.runtime import join_salted, materialise
 
 #: Encodings by their Python names. Wrong decoders are single-byte; the right one may also be UTF-8.
 SINGLE = ("cp1252", "latin_1", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8_r", "mac_roman", "cp852", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic", "cp1253", "iso8859_7", "cp737", "cp1254", "cp1257")
@@ -155,8 +155,10 @@ def learn(vocabulary: DataFrame, dominance: int = 3, support: int = 2) -> list[s
     return [r.how for r in counted.orderBy(F.desc("k"), "how").collect()]
 
 
-def garbled_words(vocabulary: DataFrame, names: list[str], dominance: int = 3) -> DataFrame:
-    """(grp, word, fixed, how, cut): garbled words, with what they were, null if that cannot be told."""
+def garbled_words(vocabulary: DataFrame, names: list[str], dominance: int = 3, most_groups: int = 10_000) -> DataFrame:
+    """(grp, word, fixed, how, cut): garbled words, with what they were, null if that cannot be told. Facts on up to most_groups
+    groups are broadcast."""
+    few = vocabulary.select("grp").distinct().limit(most_groups + 1).count() <= most_groups
     lost = vocabulary.filter(F.col("word").contains(LOST)).select("grp", "word", F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("string").alias("how"), F.lit(False).alias("cut"))
     fine = vocabulary.filter(~F.col("word").contains(LOST))
     tried = fine.select("grp", "word", "n", F.explode(_apply(names)(F.col("word"))).alias("c")).select("grp", "word", "n", F.col("c.how").alias("how"), F.col("c.word").alias("fixed"), F.col("c.cut").alias("cut"))
@@ -176,16 +178,24 @@ def garbled_words(vocabulary: DataFrame, names: list[str], dominance: int = 3) -
     vouched = letters(others.join(undecided, ["grp", "word"], "left_anti"), F.col("word")).groupBy("grp", "ch").agg(F.sum("n").alias("clean"))
     bad = letters(fine.join(first.select("grp", "word"), ["grp", "word"]), F.col("word")).groupBy("grp", "ch").agg(F.sum("n").alias("dirty"))
     foreign = bad.join(vouched, ["grp", "ch"], "left").filter(F.col("dirty") > 2 * F.coalesce("clean", F.lit(0))).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("ch")), "").alias("foreign"))
-    rest = tried.join(first.select("grp", "word"), ["grp", "word"], "left_anti").join(foreign, "grp")
+    rest = _by_group(tried.join(first.select("grp", "word"), ["grp", "word"], "left_anti"), foreign, "inner", few)
     second = rest.filter((F.expr("length(translate(word, foreign, ''))") < F.length("word")) & (F.expr("length(translate(fixed, foreign, ''))") == F.length("fixed")) & (F.expr("length(fixed)") > 0))
     second = second.filter(~F.col("fixed").rlike("[\\x{80}-\\x{9f}]"))
     inventory = held.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("ch")), "").alias("own"))
-    second = second.join(inventory, "grp", "left").filter(F.expr("length(translate(regexp_replace(fixed, '[\\\\x00-\\\\x7f]', ''), coalesce(own, ''), '')) = 0"))
+    second = _by_group(second, inventory, "left", few).filter(F.expr("length(translate(regexp_replace(fixed, '[\\\\x00-\\\\x7f]', ''), coalesce(own, ''), '')) = 0"))
     second = second.groupBy("grp", "word").agg(best.alias("b")).select("grp", "word", "b.*")
     cols = ["grp", "word", "fixed", "how", "cut"]
     return lost.select(*cols).unionByName(first.select(*cols)).unionByName(second.select(*cols))
 
 
+def _by_group(rows: DataFrame, facts: DataFrame, how: str, few: bool) -> DataFrame:
+    """Rows with the one row of their group in facts, which is a text of different characters. A few groups are broadcast; of
+    many, those that hold many rows are divided."""
+    if few:
+        return rows.join(F.broadcast(facts), "grp", how)
+    return join_salted(rows, facts, ["grp"], rows.groupBy("grp").count(), "count", how=how)
+
+
 _REPAIRED = "grp string, text string, restored string, partial boolean, how string"
 
 
@@ -218,21 +228,42 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"grp": frame["grp"], "text": frame["text"], "restored": [o[0] for o in out], "partial": [o[1] for o in out], "how": [o[2] for o in out]})
 
 
-def repair_table(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
-    """(grp, text, restored, partial, how): one row per distinct garbled text. restored is null where nothing could be
-    restored; partial tells that the text ended inside an encoded character, which is dropped from restored."""
+def _distinct_texts(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
+    """(grp, text, copies): the different texts with non-ASCII characters; no other can be garbled."""
     texts = df.select(F.col(group_col).cast("string").alias("grp"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-    texts = materialise(texts.distinct())
+    return materialise(texts.groupBy("grp", "text").agg(F.count("*").alias("copies")))
+
+
+def _repaired(texts: DataFrame) -> DataFrame:
+    """(grp, text, restored, partial, how): one row per garbled text among different texts."""
     vocabulary = materialise(word_counts(texts))
     words = garbled_words(vocabulary, learn(vocabulary))
     stand = texts.select("grp", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("word"))
-    hits = stand.join(words, ["grp", "word"]).groupBy("grp", "text").agg(F.collect_list(F.struct("word", "fixed", "how", "cut")).alias("found"))
+    hits = join_salted(stand, words, ["grp", "word"], vocabulary, "n").groupBy("grp", "text").agg(F.collect_list(F.struct("word", "fixed", "how", "cut")).alias("found"))
     return hits.mapInPandas(_repair, _REPAIRED)
 
 
+def repair_table(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
+    """(grp, text, restored, partial, how): one row per distinct garbled text. restored is null where nothing could be
+    restored; partial tells that the text ended inside an encoded character, which is dropped from restored."""
+    return _repaired(_distinct_texts(df, group_col, text_col))
+
+
+def _joined(df: DataFrame, group_col: str, text_col: str, how: str) -> DataFrame:
+    texts = _distinct_texts(df, group_col, text_col)
+    fixed = _repaired(texts).toDF("_g", "_t", "restored_text", "partial_end", "transformation")
+    rows = df.drop("restored_text", "partial_end", "transformation").filter(F.col(text_col).rlike("[^\\x00-\\x7f]"))
+    rows = rows.withColumn("_g", F.col(group_col).cast("string")).withColumn("_t", F.col(text_col))
+    return join_salted(rows, fixed, ["_g", "_t"], texts.toDF("_g", "_t", "n"), "n", how=how).drop("_g", "_t")
+
+
 def garbled(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
     """The rows of df whose text is garbled, with the columns restored_text, partial_end and transformation added (replaced
-    if df has such columns). All other columns are kept."""
-    fixed = materialise(repair_table(df, group_col, text_col)).toDF("_g", "_t", "restored_text", "partial_end", "transformation")
-    rows = df.drop("restored_text", "partial_end", "transformation")
-    return rows.join(fixed, (F.col(group_col).cast("string") == F.col("_g")) & (F.col(text_col) == F.col("_t"))).drop("_g", "_t")
+    if df has such columns). All other columns are kept. A text of many copies is joined in parts."""
+    return _joined(df, group_col, text_col, "inner")
+
+
+def with_restored(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
+    """All rows of df with the columns of garbled, null where the text is sound. ASCII and null texts are in no join."""
+    others = df.drop("restored_text", "partial_end", "transformation").filter(~F.coalesce(F.col(text_col).rlike("[^\\x00-\\x7f]"), F.lit(False)))
+    return _joined(df, group_col, text_col, "left").unionByName(others, allowMissingColumns=True)

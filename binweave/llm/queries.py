@@ -12,9 +12,10 @@ from binweave.runtime import table
 
 # p2
 def _fonts_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Fonts with their garbled copyright texts restored."""
     fonts = table(spark, sf, "fonts").select("font_id", "source", "copyright").withColumn("grp", F.lit("fonts"))
-    fixed = mojibake.repair_table(fonts, "grp", "copyright").select(F.col("text").alias("copyright"), "restored", "partial")
-    return fonts.join(fixed, "copyright", "left").select("font_id", "source", F.coalesce("restored", "copyright").alias("copyright"), "partial")
+    both = mojibake.with_restored(fonts, "grp", "copyright")
+    return both.select("font_id", "source", F.coalesce("restored_text", "copyright").alias("copyright"), F.col("partial_end").alias("partial"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binweave.runtime import materialise
+from binweave.runtime import join_salted, materialise
 
 MAX_WORD = 64
 
@@ -28,31 +28,42 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(bare, "[0-9]", "9"), F.lit(r'([^\s\u0000.,;:“”"()–]+|[,;:“”"()–]|\.)'), 1)
 
 
-def truncated(df: DataFrame, id_col: str, text_col: str, max_terminal: float = 0.055, weight: float = 100.0, support: int = 8, partial_col: str | None = None) -> DataFrame:
-    """(id_col) of the texts that were cut off. partial_col names a boolean column: true where the text ends inside an encoded
-    character, which is a cut of itself. Extra columns are ignored, whatever their names."""
-    tokens = F.concat(F.array(F.lit("^"), F.lit("^")), words(F.col(text_col)))
-    partial = F.coalesce(F.col(partial_col), F.lit(False)) if partial_col else F.lit(False)
-    rows = materialise(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), tokens.alias("t"), partial.alias("partial")).filter(F.size("t") > 2))
-    # Equal texts have one vote, however many rows repeat them; texts that differ in their digits only have one each.
-    grams = rows.select("text", "t").distinct().select(F.size("t").alias("len"), F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
-    grams = grams.groupBy("g.a", "g.b", "g.c", "g.last").agg(F.count("*").alias("n"))
-    # Every further count is read from this table, so its plan is not repeated in each of them.
-    tri = materialise(grams.groupBy("a", "b", "c").agg(F.sum(F.when(~F.col("last"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends")))
-
-    def level(keys: list[str]) -> DataFrame:
-        """Counts of the grams `keys`, and of longer words in the same context, for each gram that ends a text."""
-        base = tri.groupBy(*keys).agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
-        longer = (
-            base.filter((F.col("inside") > 0) & (F.length("c") <= MAX_WORD) & (F.length("c") > 1))
-            .select(*keys[:-1], F.explode(F.expr("transform(sequence(1, length(c) - 1), l -> substring(c, 1, l))")).alias("c"), "inside")
-            .groupBy(*keys).agg(F.sum("inside").alias("longer"))
-        )
+#: The words that a gram is looked up by, from the whole trigram to its last word.
+LEVELS = (("a", "b", "c"), ("b", "c"), ("c",))
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(level, a, b, c, inside, ends, longer, trigrams) for the trigrams, pairs and words that end a text; words that a level
+    does not look at are empty. inside and ends count texts in which the gram is followed by something, or is not; longer counts
+    longer words that c begins in the same context, and trigrams the different final trigrams that the gram ends.
+
+    All levels are summed in one aggregation, with partial sums before the exchange, so no gram is joined or collected.
+    """
+    grams = texts.select(F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
+    tri = grams.groupBy("g.a", "g.b", "g.c").agg(F.count_if(~F.col("g.last")).alias("inside"), F.count_if(F.col("g.last")).alias("ends"))
+    own = F.array(*[F.struct(F.lit(len(k)).alias("level"), *[(F.col(x) if x in k else F.lit("")).alias(x) for x in "ab"]) for k in LEVELS])
+    # A word as itself (l = 0), and as a longer word for each of its beginnings.
+    words_of = F.expr(
+        f"""transform(sequence(0, IF(inside > 0 AND length(c) <= {MAX_WORD}, greatest(length(c) - 1, 0), 0)), l -> named_struct(
+        'c', IF(l = 0, c, substring(c, 1, l)), 'inside', IF(l = 0, inside, 0L), 'ends', IF(l = 0, ends, 0L), 'longer', IF(l = 0, 0L, inside), 'trigrams', IF(l = 0 AND ends > 0, 1L, 0L)))"""
+    )
+    rows = tri.select(F.explode(own).alias("k"), words_of.alias("v")).select("k.*", F.explode("v").alias("v")).select("level", "a", "b", "v.*")
+    return rows.groupBy("level", "a", "b", "c").agg(*[F.sum(x).alias(x) for x in ("inside", "ends", "longer", "trigrams")]).filter("ends > 0")
+
+
+def cut_grams(counts: DataFrame, max_terminal: float, weight: float, support: int) -> DataFrame:
+    """(a, b, c): the final trigrams after which a text is cut."""
+
+    def level(keys: tuple[str, ...]) -> DataFrame:
         tag = "".join(keys)
-        return base.filter("ends > 0").join(longer, keys, "left").select(*keys, F.col("inside").alias(f"in_{tag}"), F.col("ends").alias(f"end_{tag}"), F.coalesce("longer", F.lit(0)).alias(f"long_{tag}"))
+        return counts.filter(F.col("level") == len(keys)).select(*keys, F.col("inside").alias(f"in_{tag}"), F.col("ends").alias(f"end_{tag}"), F.col("longer").alias(f"long_{tag}"), F.col("trigrams").alias(f"n_{tag}"))
 
-    ends = tri.filter("ends > 0").select("a", "b", "c")
-    ends = ends.join(level(["a", "b", "c"]), ["a", "b", "c"]).join(level(["b", "c"]), ["b", "c"]).join(level(["c"]), ["c"])
+    # Words and pairs that end many trigrams are joined in parts.
+    ends = level(LEVELS[0])
+    for keys in LEVELS[1:]:
+        one = level(keys)
+        tag = "".join(keys)
+        ends = join_salted(ends, one, list(keys), one, f"n_{tag}")
     share = F.col("end_c") / (F.col("in_c") + F.col("end_c"))
     for tag in ("bc", "abc"):
         share = (F.col(f"end_{tag}") + weight * share) / (F.col(f"in_{tag}") + F.col(f"end_{tag}") + weight)
@@ -65,7 +76,28 @@ def truncated(df: DataFrame, id_col: str, text_col: str, max_terminal: float = 0
         known = (F.col(f"in_{tag}") + F.col(f"long_{tag}")) >= (1 if tag == "c" else support)
         inside_word = F.when(known, (F.col(f"in_{tag}") == 0) & (F.col(f"long_{tag}") > F.col(f"end_{tag}"))).otherwise(inside_word)
     # A word that stands inside elsewhere is still cut here if its own context never knew it but knows many longer ones.
-    cut = ends.withColumn("cut", stops | inside_word).filter("cut").select("a", "b", "c")
-    finals = rows.select("id", "partial", F.element_at("t", -3).alias("a"), F.element_at("t", -2).alias("b"), F.element_at("t", -1).alias("c"))
-    marked = finals.join(cut.withColumn("hit", F.lit(True)), ["a", "b", "c"], "left")
-    return marked.filter(F.col("hit").isNotNull() | F.col("partial")).select(F.col("id").alias(id_col))
+    return ends.filter(stops | inside_word).select("a", "b", "c")
+
+
+def truncated(df: DataFrame, id_col: str, text_col: str, max_terminal: float = 0.055, weight: float = 100.0, support: int = 8, partial_col: str | None = None, learn_from: DataFrame | None = None) -> DataFrame:
+    """(id_col) of the texts that were cut off. partial_col names a boolean column: true where the text ends inside an encoded
+    character, which is a cut of itself. learn_from is a table of the texts to count in (default: df). Extra columns are ignored,
+    whatever their names."""
+    partial = F.coalesce(F.col(partial_col), F.lit(False)) if partial_col else F.lit(False)
+
+    def texts(d: DataFrame, p: Column) -> DataFrame:
+        """The different texts with words, their words and their number of rows."""
+        own = d.select(F.col(text_col).alias("_text"), p.alias("_partial")).groupBy("_text", "_partial").agg(F.count("*").alias("n"))
+        return own.select("_text", "_partial", "n", F.concat(F.array(F.lit("^"), F.lit("^")), words(F.col("_text"))).alias("t")).filter(F.size("t") > 2)
+
+    # Equal texts have one vote, however many rows repeat them; texts that differ in their digits only have one each.
+    own = materialise(texts(df, partial))
+    counted = own if learn_from is None else texts(learn_from, F.lit(False))
+    grams = materialise(gram_counts(counted.select("_text", "t").distinct()))
+    finals = own.select("_text", "_partial", *[F.element_at("t", i - 3).alias(x) for i, x in enumerate("abc")])
+    # How many texts of df a trigram ends, for the join that divides frequent ones.
+    frequent = grams.filter("level = 3") if learn_from is None else finals.groupBy("a", "b", "c").agg(F.count("*").alias("ends"))
+    hits = join_salted(finals, cut_grams(grams, max_terminal, weight, support).withColumn("hit", F.lit(True)), ["a", "b", "c"], frequent, "ends", how="left")
+    marked = hits.filter("hit OR _partial").select("_text", "_partial")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), partial.alias("_partial"))
+    return join_salted(rows, marked, ["_text", "_partial"], own, "n").select(F.col("id").alias(id_col))
