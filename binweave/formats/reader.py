@@ -83,6 +83,10 @@ def utf8(raw: bytes) -> str:
         raise FormatError("not valid UTF-8") from None
 
 
+def error_text(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
+
+
 Parser = Callable[[bytes], Iterable[tuple]]
 
 
@@ -96,21 +100,24 @@ def parse(df: DataFrame, parser: Parser, schema: str | T.StructType, keys: tuple
     key_fields = [df.schema[k] for k in keys]
     out = T.StructType([*key_fields, *[T.StructField(f.name, f.dataType, True) for f in fields], T.StructField("error", T.StringType(), True)])
     names, width = out.names, len(fields)
+    heavy = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.BinaryType)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows: list[tuple] = []
+            size = 0
             for *own, data in frame[[*keys, content]].itertuples(index=False, name=None):
                 try:
                     if data is None:
                         raise FormatError("no content")
                     for row in parser(bytes(data)):
                         rows.append((*own, *row, None))
-                        if len(rows) >= 20_000:
+                        size += sum(len(row[i]) for i in heavy if row[i] is not None)
+                        if len(rows) >= 20_000 or size >= 1 << 26:
                             yield pd.DataFrame(rows, columns=names, dtype=object)
-                            rows = []
+                            rows, size = [], 0
                 except Exception as e:  # noqa: BLE001 - hostile input must not fail the task
-                    rows.append((*own, *[None] * width, f"{type(e).__name__}: {e}"[:500]))
+                    rows.append((*own, *[None] * width, error_text(e)))
             if rows:
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 

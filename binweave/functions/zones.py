@@ -1,33 +1,37 @@
 """Zone transition tables: for every IANA zone its UTC offsets by interval, read once on the driver from a named tzdata release.
 
-The tables are bounded by the zone database (about 600 zones, below 300 intervals each), never by the data. They are shipped
+Transitions and the lasting rule after them come from the same bytes. Rules are followed for one calendar cycle of 400 years,
+which repeats exactly, so years up to 9999 are converted alike. The tables are bounded by the zone database (about 600 zones, at
+most about 1,000 intervals each), never by the data. They are shipped
 to the workers as arrays, so every task converts with the same release whatever its node has installed.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date
 from functools import lru_cache
 from importlib import resources
-from zoneinfo import TZPATH, ZoneInfo, available_timezones
+from zoneinfo import TZPATH, available_timezones
 
 import numpy as np
 
 FAR_PAST, FAR_FUTURE = -(2**61), 2**61
-#: After the explicit transitions, lasting rules are followed up to this year.
-LAST_YEAR = 2100
-_BY_RULE: dict[tuple[bytes, int], list[tuple[int, int, str]]] = {}
+#: Seconds of a calendar cycle of 400 years, after which every lasting rule repeats.
+CYCLE = 146_097 * 86_400
 
 
 @dataclass(frozen=True)
 class Zone:
-    """Interval i holds from starts[i] to starts[i + 1] (UTC seconds): offset east of UTC in seconds, and its abbreviation."""
+    """Interval i holds from starts[i] to starts[i + 1] (UTC seconds): offset east of UTC in seconds, and its abbreviation. From
+    `end` on, the intervals of the calendar cycle before it repeat."""
 
     starts: np.ndarray
     offsets: np.ndarray
     names: tuple[str, ...]
+    end: int = FAR_FUTURE
 
 
 def _raw(zone: str) -> bytes | None:
@@ -66,33 +70,50 @@ def _parse(raw: bytes) -> tuple[list[int], list[tuple[int, str]], tuple[int, str
     return list(when), [named[i] for i in idx], first
 
 
-def _by_rule(zone: str, raw: bytes, after: int) -> list[tuple[int, int, str]]:
-    """Transitions later than `after` that follow the closing rule of the zone; zones of one rule and one last transition share them."""
-    rule = raw.rstrip(b"\n").rpartition(b"\n")[2]
-    if b"," not in rule:
-        return []
-    if (rule, after) in _BY_RULE:
-        return _BY_RULE[rule, after]
-    info, out = ZoneInfo(zone), []
-
-    def at(s: int) -> tuple[int, str]:
-        d = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)).astimezone(info)
-        return int(d.utcoffset().total_seconds()), d.tzname()
-
-    s, end = after + 1, int(datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
-    held = at(s)
-    while s < end:
-        t = s + 28 * 86400
-        if (new := at(t)) != held:
-            low, high = s, t
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if at(mid) == held else (low, mid)
-            out.append((high, *new))
-            held = new
-        s = t
-    _BY_RULE[rule, after] = out
-    return out
+_RULE = re.compile(r"(<[^>]+>|[A-Za-z]{3,})([-+]?[\d:]+)(?:(<[^>]+>|[A-Za-z]{3,})([-+]?[\d:]+)?(?:,([^,]+),([^,]+))?)?")
+
+
+def _clock(text: str) -> int:
+    """Seconds of [+-]h[:m[:s]]."""
+    sign = -1 if text[0] == "-" else 1
+    parts = [int(x) for x in text.lstrip("+-").split(":")]
+    return sign * sum(x * 60 ** (2 - i) for i, x in enumerate(parts))
+
+
+def _rule_day(rule: str, year: int) -> int:
+    """Days from 1970 of the day that a rule names: Mm.w.d, Jn or n."""
+    first = (date(year, 1, 1) - date(1970, 1, 1)).days
+    if rule[0] == "J":
+        n = int(rule[1:])
+        leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+        return first + n - 1 + (leap and n >= 60)
+    if rule[0] != "M":
+        return first + int(rule)
+    month, week, weekday = (int(x) for x in rule[1:].split("."))
+    start = (date(year, month, 1) - date(1970, 1, 1)).days
+    # Day 0 of 1970 was a Thursday, weekday 4 where Sunday is 0.
+    day = start + (weekday - (start + 4)) % 7 + 7 * (week - 1)
+    following = (date(year + month // 12, month % 12 + 1, 1) - date(1970, 1, 1)).days
+    return day if day < following else day - 7
+
+
+@lru_cache(maxsize=1024)
+def _by_rule(rule: str, after: int) -> tuple[tuple[int, int, str], ...]:
+    """Transitions later than `after`, for one calendar cycle, by the closing rule that the file of a zone itself states."""
+    m = _RULE.fullmatch(rule)
+    if m is None or not m[5]:
+        return ()
+    names = [x.strip("<>") for x in (m[1], m[3])]
+    standard = -_clock(m[2])
+    summer = -_clock(m[4]) if m[4] else standard + 3600
+    year, out = 1970 + after // 31_556_952 - 1, []
+    for y in range(year, year + 403):
+        for rule_text, before, offset, name in ((m[5], standard, summer, names[1]), (m[6], summer, standard, names[0])):
+            day, _, clock = rule_text.partition("/")
+            out.append((_rule_day(day, y) * 86_400 + (_clock(clock) if clock else 7200) - before, offset, name))
+    out.sort()
+    # Standard and summer time that meet at one moment are one lasting offset: the zone never changes.
+    return tuple((t, o, n) for i, (t, o, n) in enumerate(out) if after < t <= after + CYCLE and (i + 1 == len(out) or out[i + 1][0] > t))
 
 
 @lru_cache(maxsize=1024)
@@ -102,8 +123,11 @@ def zone_table(zone: str) -> Zone | None:
         return None
     when, held, first = _parse(raw)
     rows = [(FAR_PAST, *first), *((t, *h) for t, h in zip(when, held))]
-    rows += _by_rule(zone, raw, when[-1] if when else 0)
-    return Zone(np.array([r[0] for r in rows] + [FAR_FUTURE], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), tuple(r[2] for r in rows))
+    last = when[-1] if when else 0
+    lasting = _by_rule(raw.rstrip(b"\n").rpartition(b"\n")[2].decode("ascii"), last)
+    rows += lasting
+    end = last + CYCLE if lasting else FAR_FUTURE
+    return Zone(np.array([r[0] for r in rows] + [FAR_FUTURE], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), tuple(r[2] for r in rows), end)
 
 
 @lru_cache(maxsize=1)
@@ -138,6 +162,9 @@ def to_utc(local: np.ndarray, zone: Zone, abbreviation: str | None = None) -> np
     and a name the zone never used gives NaN.
     """
     starts, offsets = zone.starts, zone.offsets
+    # Later times are converted in the last calendar cycle of the table, where weekdays and leap years are the same.
+    cycles = np.maximum(-(-(local - (zone.end - 7 * 86400)) // CYCLE), 0) if zone.end < FAR_FUTURE else np.zeros(len(local), dtype=np.int64)
+    local = local - cycles * CYCLE
     found, hits = np.full(len(local), np.nan), np.zeros(len(local), dtype=np.int64)
     first = np.searchsorted(starts, local - 2 * 86400, side="right") - 1
     last = np.searchsorted(starts, local + 2 * 86400, side="right") - 1
@@ -153,5 +180,5 @@ def to_utc(local: np.ndarray, zone: Zone, abbreviation: str | None = None) -> np
         found = np.where(ok, u, found)
         hits += ok
     if named is not None:
-        return np.where(hits > 0, found, local - offsets[np.flatnonzero(named)[-1]])
-    return np.where(hits == 1, found, np.nan)
+        return np.where(hits > 0, found, local - offsets[np.flatnonzero(named)[-1]]) + cycles * CYCLE
+    return np.where(hits == 1, found, np.nan) + cycles * CYCLE

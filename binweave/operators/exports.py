@@ -10,20 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binweave.formats import ne, pe
-from binweave.formats.reader import parse
+from binweave.formats.reader import error_text, parse
 from binweave.functions.bytes_expr import has_magic, u16_le, u32_le
 
 EXPORTED = 1
 
 
-def classify(df: DataFrame, content: str = "content") -> DataFrame:
-    """Adds kind: 'pe', 'ne' or null, by magic bytes, before anything is shipped to Python. An MZ file counts only with at
-    least 64 bytes and the relocation offset 0x40."""
+def classify_kind(content: str = "content") -> Column:
+    """'pe', 'ne' or null, by magic bytes, before anything is shipped to Python. An MZ file counts only with at least 64 bytes
+    and the relocation offset 0x40."""
     new = u32_le(content, 60)
     at = F.substring(F.col(content), (new + 1).cast("int"), F.lit(4))
     fine = has_magic(content, b"MZ") & (F.length(content) >= 64) & (u16_le(content, 24) == 0x40)
-    kind = F.when(fine & (F.hex(at) == "50450000"), "pe").when(fine & F.hex(at).startswith("4E45"), "ne")
-    return df.withColumn("kind", kind)
+    return F.when(fine & (F.hex(at) == "50450000"), "pe").when(fine & F.hex(at).startswith("4E45"), "ne")
+
+
+def classify(df: DataFrame, content: str = "content") -> DataFrame:
+    return df.withColumn("kind", classify_kind(content))
 
 
 def pe_exports(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -65,12 +68,61 @@ def ne_exports(files: DataFrame, keys: tuple[str, ...] = ("path",), compat: bool
     return own.filter("exported = 1 OR error IS NOT NULL").select(*keys, F.col("at").alias("ordinal"), "name", "error")
 
 
+#: The rows of both formats in one schema: PE addresses and names, NE entries and names, or an error of one row.
+TAGGED_SCHEMA = "kind string, ordinal bigint, is_address boolean, pe_name string, bundle_idx int, entry_idx int, step int, flags int, rank int, ne_name binary, row_error string"
+TAGGED_WIDTH = 11
+
+
+def executable(content: str = "content") -> Column:
+    """Whether a file is of one of the two formats, by its first bytes."""
+    return classify_kind(content).isNotNull()
+
+
+def binary_kind(data: bytes) -> str | None:
+    """classify_kind for bytes in Python."""
+    if data[:2] != b"MZ" or len(data) < 64 or data[24:26] != b"\x40\0":
+        return None
+    at = int.from_bytes(data[60:64], "little")
+    return "pe" if data[at : at + 4] == b"PE\0\0" else "ne" if data[at : at + 2] == b"NE" else None
+
+
+def tagged_rows(kind: str, data: bytes):
+    """The rows of a file, all or nothing; if it cannot be read, one row with its kind and the error."""
+    try:
+        if kind == "pe":
+            rows = [(kind, ordinal, is_address, name, *[None] * 7) for ordinal, is_address, name in pe.pe_export_rows(data)]
+        else:
+            rows = [(kind, ordinal, None, None, bundle, entry, step, flags, rank, name, None) for bundle, entry, step, flags, ordinal, rank, name in ne.ne_export_rows(data)]
+    except Exception as e:  # noqa: BLE001 - hostile input must not fail the task
+        rows = [(kind, *[None] * (TAGGED_WIDTH - 2), error_text(e))]
+    yield from rows
+
+
+def tagged_exports(rows: DataFrame, keys: tuple[str, ...], compat: bool = False) -> DataFrame:
+    """(*keys, kind, ordinal, name, error) of rows of TAGGED_SCHEMA with keys and error. NE ordinals are a running sum over the
+    entries of a file; names meet the addresses and entries of their ordinal in one aggregation. Window and aggregation are by
+    the file, so they share one exchange."""
+    before = F.sum("step").over(Window.partitionBy(*keys, "kind").orderBy(F.col("bundle_idx").asc_nulls_last(), "entry_idx").rowsBetween(Window.unboundedPreceding, -1))
+    counted = F.coalesce(before, F.lit(0)) + (0 if compat else 1)
+    text = F.col("ne_name").cast("string")
+    at = F.when((F.col("kind") == "ne") & F.col("bundle_idx").isNotNull(), counted).otherwise(F.col("ordinal"))
+    met = rows.withColumn("at", at).groupBy(*keys, "kind", "at", "error").agg(
+        F.max("is_address").alias("is_address"), F.max("pe_name").alias("pe_name"), F.max(F.col("flags").bitwiseAND(EXPORTED)).alias("exported"),
+        F.max_by(F.when(F.is_valid_utf8(text), text), F.when(F.is_valid_utf8(text), F.col("rank"))).alias("ne_name"),
+    )
+    kept = met.filter("is_address OR exported = 1 OR error IS NOT NULL")
+    return kept.select(*keys, "kind", F.col("at").alias("ordinal"), F.coalesce("pe_name", "ne_name").alias("name"), "error")
+
+
 def exports(files: DataFrame, keys: tuple[str, ...] = ("path",), compat: bool = False) -> DataFrame:
-    """(*keys, kind, ordinal, name, error) of all PE and NE files among (*keys, content)."""
-    known = classify(files)
-    pes = pe_exports(known.filter("kind = 'pe'"), keys).withColumn("kind", F.lit("pe"))
-    nes = ne_exports(known.filter("kind = 'ne'"), keys, compat).withColumn("kind", F.lit("ne"))
-    return pes.unionByName(nes).select(*keys, "kind", "ordinal", "name", "error")
+    """(*keys, kind, ordinal, name, error) of all PE and NE files among (*keys, content). Each file is decoded once, by its
+    first bytes; a file that cannot be read gives one row with the error."""
+
+    def run(data: bytes):
+        return tagged_rows(kind, data) if (kind := binary_kind(data)) is not None else ()
+
+    rows = parse(files.filter(executable()), run, TAGGED_SCHEMA, keys)
+    return tagged_exports(rows.withColumn("error", F.coalesce("row_error", "error")), keys, compat)
 
 
 def relocation_targets(relocations: DataFrame, imports: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:

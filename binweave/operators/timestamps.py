@@ -11,7 +11,9 @@ slashed ones month first. Two-digit years from 80 are 19yy, others 20yy. Missing
 A zone abbreviation is one of the row's own zone. Without zone or offset the text is local time in the row's zone.
 
 Null, empty, unknown or impossible values, dates without a time, local times that the zone skipped or passed twice, and local
-times without a known zone give null. Texts over 64 characters are no timestamps and give null without being shipped to Python.
+times without a known zone give null. Padding with white space or NULs is dropped first. A text of any length is judged by its
+mask, once fractions and runs of blanks, the only parts without a bound, are shortened; what is longer than MAX_LENGTH then is no
+timestamp, because no parser reads a mask of that length.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from binweave.functions import zones as Z
 #: English month abbreviations as the tools print them.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-MAX_LENGTH = 64
+MAX_LENGTH, _PADDING = 64, " \t\n\v\f\r\0"
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FROM, _TO = _DIGITS + _UPPER + _LOWER, "9" * 10 + "A" * 26 + "a" * 26
 _UNSET, _EPOCH_1601 = (0, 4294967295), 116444736000000000
@@ -49,10 +51,10 @@ _TIME_ONLY = [re.compile(x) for x in (_CLOCK + _ZONE, r"(?P<H>99)(?P<M>99)(?P<S>
 
 
 def shape(text: Column) -> Column:
-    """The shape mask; hexadecimal numbers, whose letters are digits, have the masks X (0x1F) and H (1Fh)."""
+    """The shape mask; hexadecimal numbers, whose letters are digits, have X (0x1F) or H (1Fh) and their length as masks."""
     return (
-        F.when(text.rlike("^0[xX][0-9A-Fa-f]{1,16}$"), "X")
-        .when(text.rlike("^[0-9][0-9A-Fa-f]{0,15}[hH]$"), "H")
+        F.when(text.rlike("^0[xX][0-9A-Fa-f]{1,16}$"), F.concat(F.lit("X"), F.length(text)))
+        .when(text.rlike("^[0-9][0-9A-Fa-f]{0,15}[hH]$"), F.concat(F.lit("H"), F.length(text)))
         .otherwise(F.translate(text, _FROM, _TO))
     )
 
@@ -139,23 +141,30 @@ def _civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _integers(texts: list[str], mask: str) -> np.ndarray:
-    base = 10 if mask not in ("X", "H") else 16
-    return np.array([int(t.rstrip("hH"), base) for t in texts], dtype=object)
+    """The numbers of texts of one mask, all of the same length, digit column by digit column."""
+    points = np.array(texts).view(np.uint32).reshape(len(texts), -1).astype(np.uint64)
+    points = points[:, 2:] if mask[0] == "X" else points[:, :-1] if mask[0] == "H" else points
+    base = np.uint64(16 if mask[0] in "XH" else 10)
+    digits = np.where(points <= 57, points - np.uint64(48), (points | np.uint64(32)) - np.uint64(87))
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for k in range(digits.shape[1]):
+        out = out * base + digits[:, k]
+    return out
 
 
 def _dos_day(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    small = np.array([w if w <= 0xFFFF else 0 for w in words], dtype=np.int64)
+    small = np.where(words <= 0xFFFF, words, 0).astype(np.int64)
     return _civil(1980 + (small >> 9), (small >> 5) & 15, small & 31)
 
 
 def _dos_clock(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    small = np.array([w if w <= 0xFFFF else 0xFFFF for w in words], dtype=np.int64)
+    small = np.where(words <= 0xFFFF, words, 0xFFFF).astype(np.int64)
     h, m, s = small >> 11, (small >> 5) & 63, 2 * (small & 31)
     return (h * 60 + m) * 60 + s, (h < 24) & (m < 60) & (s < 60)
 
 
 def _is_word(mask: str) -> bool:
-    return mask in ("X", "H") or bool(re.fullmatch("9{1,5}", mask))
+    return mask[0] in "XH" or bool(re.fullmatch("9{1,5}", mask))
 
 
 def _one_text(texts: list[str], mask: str, zone: np.ndarray, tables: dict[str, Z.Zone], packed: bool) -> np.ndarray:
@@ -165,16 +174,17 @@ def _one_text(texts: list[str], mask: str, zone: np.ndarray, tables: dict[str, Z
         local = part.day() * 86400 + part.clock()
         out = part.utc(local, zone, tables)
         return np.where(part.ok, out, np.nan)
-    if packed or not (mask in ("X", "H") or re.fullmatch("9{1,18}", mask)) or len(mask) in (6, 8, 14, 15, 16, 17):
+    decimal = bool(re.fullmatch("9{1,13}|9{18}", mask)) and len(mask) not in (6, 8)
+    if packed or not (decimal or mask[0] in "XH"):
         return none
     values = _integers(texts, mask)
-    unset = np.array([v in _UNSET for v in values])
-    if len(mask) == 18:
-        seconds = np.array([(v - _EPOCH_1601) // 10**7 for v in values], dtype=np.float64)
-    elif len(mask) > 10:
-        seconds = np.array([v // 1000 for v in values], dtype=np.float64)
+    unset = np.isin(values, np.array(_UNSET, dtype=np.uint64))
+    if decimal and len(mask) == 18:
+        seconds = ((values.astype(np.int64) - _EPOCH_1601) // 10**7).astype(np.float64)
+    elif decimal and len(mask) > 10:
+        seconds = (values // np.uint64(1000)).astype(np.float64)
     else:
-        seconds = np.array([v if v < 2**40 else np.nan for v in values], dtype=np.float64)
+        seconds = np.where(values < 1 << 40, values.astype(np.float64), np.nan)
     return np.where(unset, np.nan, seconds)
 
 
@@ -237,7 +247,9 @@ def utc_seconds(df: DataFrame, text: Column, time: Column | None, zone: Column,
     def short(c: Column | None) -> Column:
         if c is None:
             return F.lit(None).cast("string")
-        c = F.trim(c.cast("string"))
+        c = F.btrim(c.cast("string"), F.lit(_PADDING))
+        plain = F.regexp_replace(F.regexp_replace(c, "([.,][0-9]{9})[0-9]+", "$1"), "[ ,]{3,}", "  ")
+        c = F.when(F.length(c) <= MAX_LENGTH, c).otherwise(plain)
         return F.when((F.length(c) > 0) & (F.length(c) <= MAX_LENGTH), c)
 
     a, b = short(text), short(time)

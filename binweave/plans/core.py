@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binweave.functions import zones
 from binweave.operators.snapshots import snapshot_changes
 from binweave.operators.timestamps import utc_seconds
 from binweave.runtime import table
@@ -31,8 +32,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_determined(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows of each table denote a second, and the range of those seconds."""
-    return stamped(spark, sf).groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count("utc_second").alias("n_determined"), F.min("utc_second").alias("first_second"), F.max("utc_second").alias("last_second"))
+    """How many rows of each table denote a second, the range of those seconds, and the release of the zone tables."""
+    return stamped(spark, sf).groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count("utc_second").alias("n_determined"), F.min("utc_second").alias("first_second"), F.max("utc_second").alias("last_second"), F.lit(zones.release()).alias("zone_release"))
 
 
 def _export_changes(spark: SparkSession, sf: str) -> DataFrame:

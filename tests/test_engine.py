@@ -202,3 +202,32 @@ def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5100)] + [(7000, 7000), (None, 3), (8001, 8000)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
     assert got == {**{i: 0 for i in range(3000)}, **{i: 5000 for i in range(5000, 5101)}, 7000: 7000, 8000: 8000, 8001: 8000}
+
+
+def one_scan(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("binaryFile")
+
+
+def test_scan_reads_every_file_once_and_reports_all_errors(spark, tmp_path):
+    deep = DLL
+    for i in range(10):
+        deep = synth.cab([(f"L{i}", deep)], 0)
+    broken = synth.cab([("X.DLL", DLL)], 1)
+    for name, raw in {"a.dll": DLL, "n.dll": NE, "deep.cab": deep, "broken.cab": broken[:40], "cut.cab": broken[:-9], "bad.dll": DLL[:540]}.items():
+        (tmp_path / name).write_bytes(raw)
+    files = src.scan_files(spark, str(tmp_path)).select("path", "content")
+    assert one_scan(containers.scan_exports(files)) == 1
+    out = containers.scan_exports(files, containers=True)
+    assert one_scan(out) == 0
+    base = F.element_at(F.split(F.col("path_parts")[0], "/"), -1)
+    got = {}
+    for r in out.select(base.alias("f"), F.size("path_parts").alias("n"), "kind", "ordinal", "name", "error").collect():
+        got.setdefault(r.f, []).append((r.n, r.kind, r.ordinal, r.error is not None))
+    assert sorted(got["deep.cab"]) == [(11, "pe", i, False) for i in (1, 2, 3)] and sorted(got["a.dll"]) == [(1, "pe", i, False) for i in (1, 2, 3)]
+    assert all(any(r[3] for r in got[f]) and not any(r[2] for r in got[f]) for f in ("broken.cab", "cut.cab", "bad.dll"))
+    assert got["bad.dll"] == [(1, "pe", None, True)]
+    levels = containers.expand_all(files.select(F.array("path").alias("path_parts"), "content").filter("path LIKE '%deep.cab'"))
+    assert levels.agg(F.max("depth")).first()[0] == 10
+    short = containers.expand_all(files.select(F.array("path").alias("path_parts"), "content").filter("path LIKE '%deep.cab'"), max_depth=3)
+    assert [r.depth for r in short.filter("error IS NOT NULL").collect()] == [3]
