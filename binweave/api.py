@@ -15,7 +15,7 @@ from binweave.formats.reader import FormatError, parse
 from binweave.functions import codes
 from binweave.functions.bytes_expr import has_magic
 from binweave.functions.text_expr import resource_file_name
-from binweave.operators import containers, exports
+from binweave.operators import containers, exports, sections
 from binweave.sources.files import cbor, pretty_json
 
 #: Resource types of icons, cursors and their groups, and of fonts.
@@ -203,3 +203,10 @@ def cd_volume(files: DataFrame) -> DataFrame:
     """The volume descriptor at byte 0x8000, of either flavour."""
     out = parse(files, disks.iso_volume, disks.VOLUME_SCHEMA)
     return out.withColumn("kind_name", codes.enum_text("DescriptorType", "kind"))
+
+
+def installer_folders(archives: DataFrame, tree: DataFrame) -> DataFrame:
+    """(archive, index, edition_id, path): of each installer archive (archive, xml) the folders of system libraries in the image
+    of the preferred edition, from the listing of its images (archive, index, path). Archives without such an edition give none."""
+    chosen = sections.chosen_edition(sections.image_editions(archives, "xml", ["archive"]), ["archive"])
+    return sections.system_folders(tree).join(chosen, ["archive", "index"]).select("archive", "index", "edition_id", "path")

@@ -106,28 +106,33 @@ def _lzh(data: bytes) -> bytes:
 
 
 def kwaj(data: bytes, compat: bool = False) -> bytes:
-    """Method 0 plain, 1 inverted, 2 LZSS, 3 LZH, 4 MS-ZIP blocks. compat reads the data offset big-endian and counts match
-    lengths of method 2 without the usual 3."""
+    """Method 0 plain, 1 inverted, 2 LZSS, 3 LZH, 4 MS-ZIP blocks. compat reads a method of one byte and then the data offset
+    big-endian, starts the window of method 2 at its first place, counts its match lengths without the usual 3, and has no
+    method 4."""
     v = View(data)
     if data[:8] != KWAJ:
         raise FormatError("no KWAJ magic")
-    method, offset = v.u16(8), View(data, ">").u16(10) if compat else v.u16(10)
+    method, offset = (v.u8(8), View(data, ">").u16(9)) if compat else v.unpack(8, "HH")
     if offset < (11 if compat else 14):
         raise FormatError("data inside the header")
+    if offset > len(data):
+        raise FormatError("data past the end")
     body = data[offset:]
     if method == 0:
         return body
     if method == 1:
         return bytes(b ^ 0xFF for b in body)
     if method == 2:
-        return _lzss(body, None, 4096 - 18, 0 if compat else 3)
+        return _lzss(body, None, 0, 0) if compat else _lzss(body, None, 4096 - 18)
     if method == 3:
         return _lzh(body)
-    if method == 4:
+    if method == 4 and not compat:
         out, window, at, inner = bytearray(), b"", 0, View(body)
         while at + 2 <= len(body) and (size := inner.u16(at)) > 2:
             block = mszip_block(inner.take(at + 2, size), window)
             out += block
+            if len(out) > MAX_OUTPUT:
+                raise FormatError("output too long")
             window = (window + block)[-32768:]
             at += 2 + size
         return bytes(out)

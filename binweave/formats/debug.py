@@ -101,10 +101,13 @@ def numeric(v: View, at: int) -> tuple[object, int]:
     raise FormatError(f"unknown numeric leaf {tag:#x}")
 
 
+#: Fields of the bit field of compile flags, with their lowest bit and width.
+_COMPILED = (("language", 0, 8), ("p_code", 8, 1), ("float_precision", 9, 2), ("float_package", 11, 2), ("ambient_data", 13, 3), ("ambient_code", 16, 3), ("mode_32", 19, 1), ("reserved", 20, 4))
 _PROC = "parent:I end:I next:I length:I debug_start:I debug_end:I"
-#: Symbol kinds: code to (name, layout). o is an offset of the symbol's width; n a Pascal name; * the rest; v a numeric leaf.
+#: Symbol kinds: code to (name, layout). o is an offset of the symbol's width; n a Pascal name; * the rest; v a numeric leaf;
+#: r registers after a count; c the bit field of three bytes that says how a module was compiled.
 _SYMBOLS = {
-    0x01: ("CompileFlags", "machine:B language:B model:H version:n"), 0x02: ("RegisterVariable", "value_type:H register:H name:n tracking:*"), 0x03: ("Constant", "value_type:H value:v name:n"),
+    0x01: ("CompileFlags", "machine:B flags:c version:n"), 0x02: ("RegisterVariable", "value_type:H register:H name:n tracking:*"), 0x03: ("Constant", "value_type:H value:v name:n"),
     0x04: ("UserDefinedType", "value_type:H name:n"), 0x05: ("StartSearch", "symbol_offset:I segment:H"), 0x06: ("End", ""), 0x07: ("Skip", "data:*"), 0x08: ("CodeViewReserved", "data:*"),
     0x09: ("ObjectName", "signature:I name:n"), 0x0A: ("EndArguments", ""), 0x0B: ("MicrofocusCobolUDT", "value_type:H name:n"), 0x0C: ("ManyRegisters", "value_type:H registers:r name:n"),
     0x0D: ("ReturnDescription", "flags:H style:B data:*"), 0x0E: ("EntryThisPointer", "data:*"),
@@ -134,6 +137,10 @@ def _fields(v: View, at: int, layout: str) -> tuple[dict, int]:
             out[name], at = v.data[at:].hex(), len(v)
         elif code == "v":
             out[name], at = numeric(v, at)
+        elif code == "c":
+            bits, at = int.from_bytes(v.take(at, 3), "little"), at + 3
+            for part_name, low, width in _COMPILED:
+                out[part_name] = bits >> low & (1 << width) - 1
         elif code == "r":
             count = v.u8(at)
             out[name], at = list(v.take(at + 1, count)), at + 1 + count
@@ -176,6 +183,18 @@ def cv_symbols(data: bytes) -> Iterator[tuple]:
             n += 1
 
 
+SYMBOL_HASH_SCHEMA = "pos int, type_name string, symbol_hash_function int, address_hash_function int, symbols_size bigint, symbol_hash_table binary, address_hash_table binary"
+
+
+def cv_symbol_hashes(data: bytes) -> Iterator[tuple]:
+    """The hash tables of the subsections of global, public and static symbols."""
+    for pos, kind, name, _, _, _, body in cv_subsections(data):
+        if kind in (0x129, 0x12A, 0x134):
+            v = View(body)
+            by_name, by_address, size, names, addresses = v.unpack(0, "HHIII")
+            yield pos, name, by_name, by_address, size, v.take(16 + size, names), v.take(16 + size + names, addresses)
+
+
 #: Type leaves: code to (name, layout). t repeats 16-bit type indices after a count.
 _TYPES = {
     0x01: ("Modifier", "attributes:H base_type:H"), 0x03: ("Array", "element_type:H index_type:H length:v name:n"),
@@ -194,12 +213,35 @@ def _introduces(attributes: int) -> bool:
     return attributes >> 2 & 7 in (4, 6)
 
 
+def is_virtual(attributes: int) -> bool:
+    return attributes >> 2 & 7 in (1, 4, 5, 6)
+
+
+def _pointer_variant(v: View, at: int, kind: int, mode: int) -> dict:
+    """What follows a pointer leaf: the base of a based pointer, or the class of a pointer to a member."""
+    if mode in (2, 3):
+        class_type, form = v.unpack(at, "HH")
+        return {"class_type": class_type, "member_format": form}
+    if mode > 3:
+        return {}
+    if kind == 3:
+        return {"base_segment": v.u16(at)}
+    if kind == 8:
+        return {"based_on_type": v.u16(at), "based_on_name": v.pascal(at + 2).decode("latin-1")}
+    if kind in (6, 7):
+        _, code, name, segment, offset, value_type, own, payload = next(symbols(v.data, at))
+        return {"base_symbol": {"kind_code": code, "kind": name, "segment": segment, "offset": offset, "value_type": value_type, "name": own, **json.loads(payload)}}
+    return {}
+
+
 def _leaf(v: View, at: int) -> tuple[int, str, dict, int]:
     code = v.u16(at)
     at += 2
     if code == 0x02:
         attributes, base = v.unpack(at, "HH")
-        return code, "Pointer", {"attributes": attributes, "base_type": base, "kind": attributes & 31, "mode": attributes >> 5 & 7, "variant": v.data[at + 4 :].hex()}, len(v)
+        flags = {n: bool(attributes >> b & 1) for b, n in ((8, "flat_32"), (9, "volatile"), (10, "const"), (11, "unaligned"))}
+        f = {"attributes": attributes, "base_type": base, "kind": attributes & 31, "mode": attributes >> 5 & 7, **flags}
+        return code, "Pointer", f | _pointer_variant(v, at + 4, f["kind"], f["mode"]), len(v)
     if code in (0x204, 0x404):
         members = []
         while at < len(v):
@@ -274,12 +316,15 @@ def cv_lines(data: bytes) -> Iterator[tuple]:
 
 
 def cv_modules(data: bytes) -> Iterator[tuple]:
+    """A row per segment of a module; a module without segments gives one row with nulls."""
     for _, kind, _, _, _, _, body in cv_subsections(data):
         if kind != 0x120:
             continue
         v = View(body)
         overlay, library, count, style = v.unpack(0, "HHHH")
         name = v.pascal(8 + 12 * count).decode("latin-1")
+        if not count:
+            yield overlay, library, style.to_bytes(2, "little").decode("latin-1"), name, None, None, None, None
         for i in range(count):
             segment, _, offset, size = v.unpack(8 + 12 * i, "HHII")
             yield overlay, library, style.to_bytes(2, "little").decode("latin-1"), name, i, segment, offset, size

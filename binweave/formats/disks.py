@@ -257,10 +257,10 @@ def iso_records(extent: int | None = None):
 
 
 def iso_partitions(data: bytes) -> Iterator[tuple]:
-    """Partition descriptors among the descriptors from sector 16 up to the end mark."""
+    """Partition descriptors among the descriptors from sector 16 up to the end mark, or the end of the data."""
     d = Disc(data)
     shift = 8 if d.sierra else 0
-    for pos in range(256):
+    for pos in range((len(d.view) - d.base) // 2048):
         at = d.base + 2048 * pos + shift
         kind = d.view.u8(at)
         if kind == 255:

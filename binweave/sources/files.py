@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +26,20 @@ def spread(files: DataFrame, partitions: int) -> DataFrame:
     return files.repartition(partitions, F.xxhash64("path"))
 
 
-def exports_lines(exports: DataFrame) -> DataFrame:
-    """(path_parts, ordinal, name) as lines: JSON path list, ordinal or empty, escaped name or empty."""
+def exports_lines(exports: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(path_parts, ordinal, name) as lines: JSON path list, ordinal or empty, escaped name or empty; after the columns in keep."""
     cells = [F.to_json("path_parts"), F.coalesce(F.col("ordinal").cast("string"), F.lit("")), F.coalesce(escape_name("name"), F.lit(""))]
-    return exports.select(F.concat_ws("\t", *cells).alias("value"))
+    return exports.select(*keep, F.concat_ws("\t", *cells).alias("value"))
 
 
-def filtered_lines(exports: DataFrame) -> DataFrame:
-    """(filename, ordinal, name) as lines; the path is a JSON list of one."""
+def filtered_lines(exports: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(filename, ordinal, name) as lines; the path is a JSON list of one. After the columns in keep."""
     cells = [F.to_json(F.array("filename")), F.coalesce(F.col("ordinal").cast("string"), F.lit("")), F.coalesce(escape_name("name"), F.lit(""))]
-    return exports.select(F.concat_ws("\t", *cells).alias("value"))
+    return exports.select(*keep, F.concat_ws("\t", *cells).alias("value"))
 
 
-def parse_lines(lines: DataFrame, value: str = "value", mode: str = "PERMISSIVE", unescape: bool = True) -> DataFrame:
-    """Lines to (path_parts, base_name, ordinal, name, bad_line). Empty cells are null.
+def parse_lines(lines: DataFrame, value: str = "value", mode: str = "PERMISSIVE", unescape: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines to (path_parts, base_name, ordinal, name, bad_line), after the columns in keep. Empty cells are null.
 
     A line that cannot be read gives nulls and itself as bad_line (PERMISSIVE), is dropped (DROPMALFORMED), or ends the query
     (FAILFAST).
@@ -49,13 +50,13 @@ def parse_lines(lines: DataFrame, value: str = "value", mode: str = "PERMISSIVE"
     name = F.nullif(F.try_element_at(cells, F.lit(3)), F.lit(""))
     ordinal = F.nullif(F.try_element_at(cells, F.lit(2)), F.lit(""))
     fine = F.coalesce(parts.isNotNull() & (F.size(cells) == 3) & (ordinal.isNull() | ordinal.rlike("^[0-9]+$")), F.lit(False))
-    keep = lambda c: F.when(fine, c)
+    sound = lambda c: F.when(fine, c)
     bad = F.when(~fine, text)
     if mode == "FAILFAST":
         bad = F.when(fine, F.lit(None).cast("string")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), text)).cast("string"))
     out = lines.select(
-        keep(parts).alias("path_parts"), keep(base_name(F.element_at(parts, -1))).alias("base_name"), keep(ordinal).cast("bigint").alias("ordinal"),
-        keep(unescape_name(name) if unescape else name).alias("name"), bad.alias("bad_line"),
+        *keep, sound(parts).alias("path_parts"), sound(base_name(F.element_at(parts, -1))).alias("base_name"), sound(ordinal).cast("bigint").alias("ordinal"),
+        sound(unescape_name(name) if unescape else name).alias("name"), bad.alias("bad_line"),
     )
     return out.filter("bad_line IS NULL") if mode == "DROPMALFORMED" else out
 

@@ -188,8 +188,12 @@ def test_lzh_over_the_limit_is_an_error(monkeypatch):
 
 
 def test_compat_offset_of_kwaj():
-    raw = bytes.fromhex("4B57414A88F027D1") + struct.pack("<H", 0) + struct.pack(">H", 16) + bytes(4) + b"data"
-    assert compressed.kwaj(raw, compat=True) == b"data"
+    # A method byte, then two bytes big-endian; so a usual file whose data begin at 14 reads the same both ways.
+    assert compressed.kwaj(bytes.fromhex("4B57414A88F027D1") + b"\0" + struct.pack(">H", 16) + bytes(5) + b"data", compat=True) == b"data"
+    for method in (0, 1, 3):
+        assert compressed.kwaj(synth.kwaj(b"some data", method), compat=True) == compressed.kwaj(synth.kwaj(b"some data", method)) == b"some data"
+    with pytest.raises(FormatError, match="past the end"):
+        compressed.kwaj(synth.kwaj(b"", 0)[:11] + b"\xff" * 3)
 
 
 @pytest.mark.parametrize("bits", [12, 16, 32])
