@@ -251,7 +251,8 @@ def repair_table(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
 
 def _joined(df: DataFrame, group_col: str, text_col: str, how: str) -> DataFrame:
     texts = _distinct_texts(df, group_col, text_col)
-    fixed = _repaired(texts).toDF("_g", "_t", "restored_text", "partial_end", "transformation")
+    # The result is often read more than once; the restoring is not.
+    fixed = materialise(_repaired(texts)).toDF("_g", "_t", "restored_text", "partial_end", "transformation")
     rows = df.drop("restored_text", "partial_end", "transformation").filter(F.col(text_col).rlike("[^\\x00-\\x7f]"))
     rows = rows.withColumn("_g", F.col(group_col).cast("string")).withColumn("_t", F.col(text_col))
     return join_salted(rows, fixed, ["_g", "_t"], texts.toDF("_g", "_t", "n"), "n", how=how).drop("_g", "_t")

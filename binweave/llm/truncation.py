@@ -37,17 +37,19 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     does not look at are empty. inside and ends count texts in which the gram is followed by something, or is not; longer counts
     longer words that c begins in the same context, and trigrams the different final trigrams that the gram ends.
 
-    All levels are summed in one aggregation, with partial sums before the exchange, so no gram is joined or collected.
+    All levels are summed together, with partial sums before each exchange; no gram is joined or collected.
     """
     grams = texts.select(F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
     tri = grams.groupBy("g.a", "g.b", "g.c").agg(F.count_if(~F.col("g.last")).alias("inside"), F.count_if(F.col("g.last")).alias("ends"))
     own = F.array(*[F.struct(F.lit(len(k)).alias("level"), *[(F.col(x) if x in k else F.lit("")).alias(x) for x in "ab"]) for k in LEVELS])
+    base = tri.select(F.explode(own).alias("k"), "c", "inside", "ends").groupBy("k.level", "k.a", "k.b", "c")
+    base = base.agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"), F.count_if(F.col("ends") > 0).alias("trigrams"))
     # A word as itself (l = 0), and as a longer word for each of its beginnings.
     words_of = F.expr(
         f"""transform(sequence(0, IF(inside > 0 AND length(c) <= {MAX_WORD}, greatest(length(c) - 1, 0), 0)), l -> named_struct(
-        'c', IF(l = 0, c, substring(c, 1, l)), 'inside', IF(l = 0, inside, 0L), 'ends', IF(l = 0, ends, 0L), 'longer', IF(l = 0, 0L, inside), 'trigrams', IF(l = 0 AND ends > 0, 1L, 0L)))"""
+        'c', IF(l = 0, c, substring(c, 1, l)), 'inside', IF(l = 0, inside, 0L), 'ends', IF(l = 0, ends, 0L), 'longer', IF(l = 0, 0L, inside), 'trigrams', IF(l = 0, trigrams, 0L)))"""
     )
-    rows = tri.select(F.explode(own).alias("k"), words_of.alias("v")).select("k.*", F.explode("v").alias("v")).select("level", "a", "b", "v.*")
+    rows = base.select("level", "a", "b", F.explode(words_of).alias("v")).select("level", "a", "b", "v.*")
     return rows.groupBy("level", "a", "b", "c").agg(*[F.sum(x).alias(x) for x in ("inside", "ends", "longer", "trigrams")]).filter("ends > 0")
 
 
