@@ -20,17 +20,20 @@ row of zeros; null or negative shares and repeats count as zero. Empty tables gi
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from binweave.llm.quality import word_shares
 from binweave.runtime import join_counted, materialise
 
 BINS = 4096
-#: Where the public vocabulary lies on this machine; every function takes another path.
+#: Where the public vocabulary lies on the driver; every query takes another path. It is sent to the workers with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,26 +48,40 @@ def _tokenizer(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of a whole text; 0 for null."""
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """Sends a vocabulary file that lies on the driver to all workers, now and later, and gives the name they find it by."""
+    spark.sparkContext.addFile(vocabulary)
+    return os.path.basename(vocabulary)
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _tokenizer(vocabulary).encode_ordinary
-        for texts in batches:
-            yield pd.Series([0 if t is None else len(encode(t)) for t in texts], dtype="int64")
 
-    return count(text)
+def sizes_and_weights(text: Column, vocabulary: str, common_words: list[str], usual_common: float = 0.4, least: float = 0.05) -> Column:
+    """A struct of n_tokens, the number of tokens of a whole text, and weight, its quality, by one reading of the text.
+
+    The weight, between `least` and 1, is the share of characters that are letters or digits in words, times the share of common
+    words against the usual share of running prose, both from the text statistics. vocabulary is a name given by shipped. A null
+    text has no tokens and the least weight."""
+    common = frozenset(w.lower() for w in common_words if w)
 
+    @F.pandas_udf("n_tokens bigint, weight double")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = _tokenizer(SparkFiles.get(vocabulary)).encode_ordinary
+        for texts in batches:
+            rows = []
+            for t in texts:
+                if t is None:
+                    rows.append((0, least))
+                    continue
+                ratio, share = word_shares(t, common)
+                rows.append((len(encode(t)), max(least, min(1.0, (1 - ratio) * min(1.0, share / usual_common)))))
+            yield pd.DataFrame(rows, columns=["n_tokens", "weight"])
 
-def density_weight(text: Column, n_tokens: Column, usual: float = 4.0) -> Column:
-    """A quality weight in (0, 1]: letters per token against the usual ratio of prose, which noise and digits do not reach."""
-    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.length(text) / (F.greatest(n_tokens, F.lit(1)) * usual)))
+    return measure(text)
 
 
-def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, weight: str | None, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, weight: str | None, targets: DataFrame, total_tokens: int | str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (doc_id, source, n_tokens, copies) with at least one copy, and shares (source, target_share,
-    available_tokens, mixed_tokens, actual_share, epochs, n_docs), one row per target."""
+    available_tokens, mixed_tokens, actual_share, epochs, n_docs), one row per target. total_tokens may be "available": as many
+    tokens as the sources hold."""
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-6)) if weight else F.lit(1.0)
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("src"), F.col(n_tokens).cast("bigint").alias("n"), w.alias("w"), (-F.log(unit) / w).alias("key"))
@@ -75,7 +92,10 @@ def mix(docs: DataFrame, doc_id: str, source: str, n_tokens: str, weight: str |
     plan = materialise(aims.filter("src IS NOT NULL").join(sizes, "src", "left").fillna(0, ["size", "n_docs"]))
     usable = plan.filter("size > 0 AND share > 0 AND cap > 0")
     spread, largest = usable.agg(F.sum("share"), F.min(F.col("size") * F.col("cap") / F.col("share"))).first()
-    total = float(total_tokens) if total_tokens is not None else (largest or 0.0) * (spread or 0.0)
+    if total_tokens == "available":
+        total = float(plan.agg(F.sum("size")).first()[0] or 0)
+    else:
+        total = float(total_tokens) if total_tokens is not None else (largest or 0.0) * (spread or 0.0)
     budget = F.when((F.col("size") > 0) & (F.col("cap") > 0), F.least(F.lit(total) * F.col("share") / F.lit(spread or 1.0), (F.col("size") * F.col("cap")).cast("double"))).otherwise(0.0)
     # Rounding must not turn the last complete epoch into a part of one.
     plan = plan.withColumn("budget", F.round(budget).cast("bigint"))

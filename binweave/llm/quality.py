@@ -376,10 +376,16 @@ def _word_sums(text: str, common: frozenset) -> tuple:
     tail = (words[-1][:KEEP], len(words[-1])) if words and low.endswith(words[-1]) else None
     spaces = sum(map(text.count, _SPACES if not text.isascii() else " \n\t\r\f\v\x1c\x1d\x1e\x1f"))
     alone = len(words) == 1 and head is not None and tail is not None and len(words[0]) == len(low)
-    hits = sum(w in common for w in words if len(w) <= KEEP) if any(len(w) > KEEP for w in common) else sum(map(common.__contains__, words))
+    hits = sum(map(common.__contains__, words))
     return len(text), len(text) - spaces - letters, len(words), letters, hits, head, tail, alone
 
 
+def word_shares(text: str, common: frozenset) -> tuple[float, float]:
+    """Symbol ratio and share of common words of a whole text; 1 and 0 where it has no words."""
+    _, symbols, words, letters, hits, *_ = _word_sums(text, common)
+    return (symbols / (letters + symbols), hits / words) if words else (1.0, 0.0)
+
+
 def state_of(text: str, common: frozenset, before: str = "", after: str = "") -> State:
     """The state of a chunk; before and after are the characters around it, so that a mark the cut divides is found once, in
     the chunk where it begins."""

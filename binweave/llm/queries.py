@@ -107,10 +107,19 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # p9
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    docs = docs.withColumn("n_tokens", mixing.token_count(F.col("text"))).withColumn("w", mixing.density_weight(F.col("text"), F.col("n_tokens"))).drop("text")
-    return mixing.mix(docs, "doc_id", "source", "n_tokens", "w", table(spark, sf, "mix_targets"))
+def _common_words(spark: SparkSession, sf: str, most: int = 100_000) -> list[str]:
+    """The fixed list of function words of all languages; one of over `most` words is an error."""
+    words = table(spark, sf, "common_words").select("word").filter("word IS NOT NULL").distinct()
+    common = [r.word for r in words.orderBy("word").limit(most + 1).collect()]
+    if len(common) > most:
+        raise ValueError(f"a list of function words has at most {most} words")
+    return common
+
+
+def _mixed(spark: SparkSession, sf: str, total_tokens: int | str | None = None, vocabulary: str = mixing.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    measured = mixing.sizes_and_weights(F.col("text"), mixing.shipped(spark, vocabulary), _common_words(spark, sf))
+    docs = table(spark, sf, "documents").select("doc_id", "source", measured.alias("m")).select("doc_id", "source", "m.n_tokens", "m.weight")
+    return mixing.mix(docs, "doc_id", "source", "n_tokens", "weight", table(spark, sf, "mix_targets"), total_tokens)
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,14 +131,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
+def p9_shares_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares where as many tokens are wanted as the sources hold: small sources are repeated as often as they may be."""
+    return _mixed(spark, sf, "available")[1]
+
+
 # p10
-def _text_statistics(spark: SparkSession, sf: str, max_common: int = 100_000) -> DataFrame:
-    """The list of function words is fixed; one of over max_common words is an error."""
-    words = table(spark, sf, "common_words").select("word").filter("word IS NOT NULL").distinct()
-    common = [r.word for r in words.orderBy("word").limit(max_common + 1).collect()]
-    if len(common) > max_common:
-        raise ValueError(f"a list of function words has at most {max_common} words")
-    return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+def _text_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
 
 
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,5 +156,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_copies": p6_copies,
-    "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_kept": p8_kept, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_stats": p10_stats, "p10_shapes": p10_shapes,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_matches": p8_matches, "p8_kept": p8_kept, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_of_all": p9_shares_of_all, "p10_found": p10_found, "p10_stats": p10_stats, "p10_shapes": p10_shapes,
 }

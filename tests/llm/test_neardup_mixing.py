@@ -125,5 +125,24 @@ def test_mixing_caps_a_given_total_and_empty_tables(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "ü" * 100_000)], "i int, t string")
-    got = {r.i: r.n for r in df.select("i", mixing.token_count(F.col("t")).alias("n")).collect()}
+    measured = mixing.sizes_and_weights(F.col("t"), mixing.shipped(spark, mixing.VOCABULARY), ["the", "of", "is"])
+    weights = {r.i: r.w for r in df.select("i", measured["weight"].alias("w")).collect()}
+    assert all(0.05 <= w <= 1 for w in weights.values())
+    got = {r.i: r.n for r in df.select("i", measured["n_tokens"].alias("n")).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and got[5] > 0
+
+
+def test_weights_prefer_prose(spark):
+    texts = [(1, "The state of the model is the sum of the parts."), (2, "12 ## 44 %% 0x3f || --"), (3, None), (4, "")]
+    measured = mixing.sizes_and_weights(F.col("t"), mixing.shipped(spark, mixing.VOCABULARY), ["the", "of", "is"])
+    got = {r.i: tuple(r.m) for r in spark.createDataFrame(texts, "i int, t string").select("i", measured.alias("m")).collect()}
+    assert got[1][1] > 0.5 and got[2][1] == 0.05 and got[3] == (0, 0.05) and got[4] == (0, 0.05)
+
+
+def test_a_total_of_all_that_is_there(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 5 else "b", 10) for i in range(100)], "d long, s string, n long")
+    aims = spark.createDataFrame([("a", 0.5, 9), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mixed, shares = mixing.mix(docs, "d", "s", "n", None, aims, "available")
+    got = {r.source: r.mixed_tokens for r in shares.collect()}
+    # b may give 2 x 200 of the 500 that its share of 1000 is.
+    assert got == {"a": 500, "b": 400}
