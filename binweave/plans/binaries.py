@@ -273,18 +273,11 @@ def rules_filter(spark, sf):
     return rules.filter_exports(rows, rules.system_library_rules())
 
 
-@query("SELECT export_id, path_parts[1] AS first_part, len(path_parts) AS n_parts, ordinal, CASE WHEN name <> '' THEN name END AS name FROM exports")
-def exports_list_round_trip(spark, sf):
-    line = F.concat_ws("\t", F.to_json("path_parts"), F.coalesce(F.col("ordinal").cast("string"), F.lit("")), F.coalesce(X.escape_name("name"), F.lit("")))
-    text = table(spark, sf, "exports").select("export_id", F.split(line, "\t", -1).alias("c"))
-    back = text.select("export_id", F.from_json(F.col("c")[0], "array<string>").alias("p"), F.nullif(F.col("c")[1], F.lit("")).cast("bigint").alias("ordinal"), X.unescape_name(F.nullif(F.col("c")[2], F.lit(""))).alias("name"))
-    return back.select("export_id", F.col("p")[0].alias("first_part"), F.size("p").cast("bigint").alias("n_parts"), "ordinal", "name")
-
-
-@query("SELECT string_split(replace(path_parts[len(path_parts)], chr(92), '/'), '/')[-1] AS base_name, count(*) AS n_rows FROM exports WHERE name IS NOT NULL GROUP BY 1")
+@query("SELECT string_split(replace(path_parts[len(path_parts)], chr(92), '/'), '/')[-1] AS base_name, count(*) AS n_rows, count(ordinal) AS n_ordinals, count(CASE WHEN name <> '' THEN 1 END) AS n_names FROM exports GROUP BY 1")
 def exports_list_parsed(spark, sf):
-    e = table(spark, sf, "exports").filter("name IS NOT NULL").select("path_parts", "ordinal", "name")
-    return src.parse_lines(src.exports_lines(e), mode="FAILFAST").groupBy("base_name").agg(F.count("*").alias("n_rows"))
+    """The whole list by base name; rows without a name or an ordinal are lines with empty cells."""
+    rows = src.parse_lines(src.exports_lines(table(spark, sf, "exports").select("path_parts", "ordinal", "name")), mode="FAILFAST")
+    return rows.groupBy("base_name").agg(F.count("*").alias("n_rows"), F.count("ordinal").alias("n_ordinals"), F.count("name").alias("n_names"))
 
 
 # ---- scalar functions --------------------------------------------------------------------------------------------------
