@@ -15,11 +15,11 @@ def _fonts_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """Fonts with their garbled copyright texts restored."""
     fonts = table(spark, sf, "fonts").select("font_id", "source", "copyright").withColumn("grp", F.lit("fonts"))
     both = mojibake.with_restored(fonts, "grp", "copyright")
-    return both.select("font_id", "source", F.coalesce("restored_text", "copyright").alias("copyright"), F.col("partial_end").alias("partial"))
+    return both.select("font_id", "source", F.coalesce("restored_text", "copyright").alias("copyright"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.truncated(_fonts_repaired(spark, sf), "font_id", "copyright", partial_col="partial")
+    return truncation.truncated(_fonts_repaired(spark, sf), "font_id", "copyright")
 
 
 def p2_rates(spark: SparkSession, sf: str) -> DataFrame:

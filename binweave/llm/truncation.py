@@ -32,25 +32,29 @@ def words(text: Column) -> Column:
 LEVELS = (("a", "b", "c"), ("b", "c"), ("c",))
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(level, a, b, c, inside, ends, longer, trigrams) for the trigrams, pairs and words that end a text; words that a level
-    does not look at are empty. inside and ends count texts in which the gram is followed by something, or is not; longer counts
+def gram_counts(texts: DataFrame, finals: DataFrame | None = None) -> DataFrame:
+    """(level, a, b, c, inside, ends, longer, trigrams) for the trigrams, pairs and words that end a text, or with finals, the
+    different trigrams (a, b, c), for those that end one of these; words that a level does not look at are empty. inside and ends count texts in which the gram is followed by something, or is not; longer counts
     longer words that c begins in the same context, and trigrams the different final trigrams that the gram ends.
 
     All levels are summed together, with partial sums before each exchange; no gram is joined or collected.
     """
     grams = texts.select(F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] AS c, i + 1 = size(t) AS last))")).alias("g"))
     tri = grams.groupBy("g.a", "g.b", "g.c").agg(F.count_if(~F.col("g.last")).alias("inside"), F.count_if(F.col("g.last")).alias("ends"))
+    tri = tri.withColumn("wanted", (F.col("ends") > 0).cast("int") if finals is None else F.lit(0))
+    if finals is not None:
+        none = F.lit(0).cast("bigint")
+        tri = tri.unionByName(finals.select("a", "b", "c", none.alias("inside"), none.alias("ends"), F.lit(1).alias("wanted")))
     own = F.array(*[F.struct(F.lit(len(k)).alias("level"), *[(F.col(x) if x in k else F.lit("")).alias(x) for x in "ab"]) for k in LEVELS])
-    base = tri.select(F.explode(own).alias("k"), "c", "inside", "ends").groupBy("k.level", "k.a", "k.b", "c")
-    base = base.agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"), F.count_if(F.col("ends") > 0).alias("trigrams"))
+    base = tri.select(F.explode(own).alias("k"), "c", "inside", "ends", "wanted").groupBy("k.level", "k.a", "k.b", "c")
+    base = base.agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"), F.sum("wanted").alias("trigrams"))
     # A word as itself (l = 0), and as a longer word for each of its beginnings.
     words_of = F.expr(
         f"""transform(sequence(0, IF(inside > 0 AND length(c) <= {MAX_WORD}, greatest(length(c) - 1, 0), 0)), l -> named_struct(
         'c', IF(l = 0, c, substring(c, 1, l)), 'inside', IF(l = 0, inside, 0L), 'ends', IF(l = 0, ends, 0L), 'longer', IF(l = 0, 0L, inside), 'trigrams', IF(l = 0, trigrams, 0L)))"""
     )
     rows = base.select("level", "a", "b", F.explode(words_of).alias("v")).select("level", "a", "b", "v.*")
-    return rows.groupBy("level", "a", "b", "c").agg(*[F.sum(x).alias(x) for x in ("inside", "ends", "longer", "trigrams")]).filter("ends > 0")
+    return rows.groupBy("level", "a", "b", "c").agg(*[F.sum(x).alias(x) for x in ("inside", "ends", "longer", "trigrams")]).filter("trigrams > 0")
 
 
 def cut_grams(counts: DataFrame, max_terminal: float, weight: float, support: int) -> DataFrame:
@@ -66,13 +70,14 @@ def cut_grams(counts: DataFrame, max_terminal: float, weight: float, support: in
         one = level(keys)
         tag = "".join(keys)
         ends = join_salted(ends, one, list(keys), one, f"n_{tag}")
-    share = F.col("end_c") / (F.col("in_c") + F.col("end_c"))
+    # A word that was never counted has no share, and is no word that cannot end a statement.
+    share = F.try_divide(F.col("end_c"), F.col("in_c") + F.col("end_c"))
     for tag in ("bc", "abc"):
         share = (F.col(f"end_{tag}") + weight * share) / (F.col(f"in_{tag}") + F.col(f"end_{tag}") + weight)
     # A word that hardly ever ends a text in any context needs less evidence, one that often does needs more.
-    alone = F.col("end_c") / (F.col("in_c") + F.col("end_c"))
+    alone = F.try_divide(F.col("end_c"), F.col("in_c") + F.col("end_c"))
     limit = F.when(alone <= max_terminal / 2, 3 * max_terminal).when(alone <= max_terminal, max_terminal).otherwise(max_terminal / 3)
-    stops = (F.col("in_c") > 0) & (share <= limit)
+    stops = F.coalesce((F.col("in_c") > 0) & (share <= limit), F.lit(False))
     inside_word = F.lit(False)
     for tag in ("c", "bc", "abc"):
         known = (F.col(f"in_{tag}") + F.col(f"long_{tag}")) >= (1 if tag == "c" else support)
@@ -95,8 +100,8 @@ def truncated(df: DataFrame, id_col: str, text_col: str, max_terminal: float = 0
     # Equal texts have one vote, however many rows repeat them; texts that differ in their digits only have one each.
     own = materialise(texts(df, partial))
     counted = own if learn_from is None else texts(learn_from, F.lit(False))
-    grams = materialise(gram_counts(counted.select("_text", "t").distinct()))
     finals = own.select("_text", "_partial", *[F.element_at("t", i - 3).alias(x) for i, x in enumerate("abc")])
+    grams = materialise(gram_counts(counted.select("_text", "t").distinct(), None if learn_from is None else finals.select("a", "b", "c").distinct()))
     # How many texts of df a trigram ends, for the join that divides frequent ones.
     frequent = grams.filter("level = 3") if learn_from is None else finals.groupBy("a", "b", "c").agg(F.count("*").alias("ends"))
     hits = join_salted(finals, cut_grams(grams, max_terminal, weight, support).withColumn("hit", F.lit(True)), ["a", "b", "c"], frequent, "ends", how="left")

@@ -33,6 +33,14 @@ def test_copies_of_a_cut_text_do_not_make_its_end_terminal(spark):
         assert {r.id for r in truncated(df, "id", "text").collect()} == set(range(len(whole), len(texts))), copied
 
 
+def test_truncation_learned_from_other_texts(spark):
+    cut = ["Copyright 1991, Fonderie Typewo", "Copyright 1993, Norbekk Typeworks. All rights", "Copyright 1996,"]
+    fine = ["Copyright 1999, Norbekk Typeworks", "Copyright 1999, Fonderie Korvenpää Inc", "Copyright 1999, Unknown"]
+    df = spark.createDataFrame(list(enumerate(cut + fine)), "id long, text string")
+    learned = spark.createDataFrame([(t,) for t in statements(3000)], "text string")
+    assert {r.id for r in truncated(df, "id", "text", learn_from=learned).collect()} == {0, 1, 2}
+
+
 def test_truncation_without_rows_and_partial_character(spark):
     assert truncated(spark.createDataFrame([], "id long, text string"), "id", "text").collect() == []
     rows = [(1, "One word", True), (2, "One word", None), (3, "z" * 50_000, False)]
