@@ -92,6 +92,23 @@ def test_copies_of_a_garbled_text_do_not_outvote_the_clean_ones(spark):
         assert {r.id for r in mojibake.garbled(df, "grp", "text").collect()} == want, copied
 
 
+def test_garbled_words_that_stand_in_as_many_texts_as_the_clean_ones(spark):
+    # A large collection holds every text there is: each word with each number, garbled or not. Only the rows differ.
+    kinds = [f"{w}{k}" for w in ("GRÜN", "FORÊT", "CAFÉ", "MÃE", "MÜLL", "PÂTE", "AÇÃO") for k in range(10)]
+    bad = [t.encode(right).decode(wrong) for right, wrong in (("cp1252", "cp850"), ("cp850", "latin_1")) for t in kinds]
+    for copies in (0, 2000):
+        texts = [*kinds * 40, *bad * 2, *[bad[0]] * copies]
+        df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "id long, grp string, text string")
+        assert {r.id for r in mojibake.garbled(df, "grp", "text").collect()} == set(range(len(kinds) * 40, len(texts))), copies
+
+
+def test_word_counts_by_texts_and_by_rows(spark):
+    copies = {"é": [7], "ö": [1, 900], "ü": [3, 4, 5, 900], "ä": [10] * 9 + [11]}
+    texts = [("g", f"{w} {i}", n) for w, ns in copies.items() for i, n in enumerate(ns)]
+    got = mojibake.word_counts(spark.createDataFrame(texts, "grp string, text string, copies long")).collect()
+    assert {r.word: (r.n, r.even) for r in got} == {"é": (1, 1), "ö": (2, 3), "ü": (4, 20), "ä": (10, 101)}
+
+
 def test_garbled_edge_cases(spark):
     df = spark.createDataFrame([], "id long, grp string, text string")
     assert mojibake.garbled(df, "grp", "text").collect() == []
