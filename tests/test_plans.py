@@ -1,6 +1,7 @@
 """Queries over tables that are larger than one image can hold, or made to be slow, compared with their SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from binweave.plans import binaries
@@ -25,3 +26,17 @@ def test_resources_of_more_than_one_image(same):
     # More than the tables of an image hold, and more than its data.
     assert same("ne_resources", "part", "SELECT i AS p_partkey, CAST(7 AS INT) AS p_size, 'part ' || i AS p_name FROM range(6000) t(i)") == 6000
     assert same("ne_resources", "part", "SELECT i * 100000 AS p_partkey, CAST(7 AS INT) AS p_size, repeat('x', 300000 + 17 * CAST(i AS INT)) AS p_name FROM range(8) t(i)") == 8
+
+
+def test_encoded_batches_are_bounded():
+    run = binaries.encode(lambda n: bytes(n)).func
+    got = [list(map(len, b)) for b in run(iter([(pd.Series([3 << 20] * 20 + [0]),), pd.Series([5])]))]
+    assert [n for b in got for n in b] == [3 << 20] * 20 + [0, 5]
+    assert max(map(sum, got)) <= binaries._BATCH + (3 << 20)
+
+
+def test_nested_containers_are_built_once(spark, same, tmp_path):
+    assert same("nested_containers", "documents", "SELECT i AS doc_id, repeat('text ' || i, 1 + CAST(i * 37 % 900 AS INT)) AS text FROM range(300) t(i)") == 300
+    # The discs are not built again for the rows of level 0, none of which is wanted.
+    plan = binaries.nested_containers(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
