@@ -40,3 +40,30 @@ def test_nested_containers_are_built_once(spark, same, tmp_path):
     # The discs are not built again for the rows of level 0, none of which is wanted.
     plan = binaries.nested_containers(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+#: Every address lies in all sections of the only file, and every file offset in half of them.
+_OVERLAPPING = "SELECT i AS p_partkey, 'b' AS p_brand, CAST(1000000 + i AS INT) AS p_size, 'n' AS p_name FROM range(2000) t(i)"
+
+
+def joined(df) -> int:
+    """The most rows that a join of the plan gives."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_look_up_compares_no_pairs(spark, same, tmp_path):
+    assert same("section_lookup", "part", _OVERLAPPING) == 2000
+    # At most one row for each address and level of sizes, not one for each of the 4,000,000 pairs.
+    assert 2000 <= joined(binaries.section_lookup(spark, str(tmp_path))) <= 2000 * 22
