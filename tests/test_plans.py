@@ -67,3 +67,8 @@ def test_look_up_compares_no_pairs(spark, same, tmp_path):
     assert same("section_lookup", "part", _OVERLAPPING) == 2000
     # At most one row for each address and level of sizes, not one for each of the 4,000,000 pairs.
     assert 2000 <= joined(binaries.section_lookup(spark, str(tmp_path))) <= 2000 * 22
+
+
+def test_inverse_look_up_compares_no_pairs(spark, same, tmp_path):
+    assert same("section_lookup_inverse", "part", _OVERLAPPING) == 2000
+    assert 2000 <= joined(binaries.section_lookup_inverse(spark, str(tmp_path))) <= 2000 * 22
